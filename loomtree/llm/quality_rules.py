@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, only
+from .common import binary, blocks, materialize, only, whole_texts
 from .statistics import CLASSES, COMMON, Document, class_counts, word_table
 
 #: What is compared: classes that tell prose from junk; digits count as letters, so that numbers and names in prose don't matter.
@@ -154,6 +154,6 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), *(pa.array(m[c].astype(np.int64)) for c in _COUNTS), *map(pa.array, (base, a, b, kept))], [*names, *_COUNTS, "base_failed", "class_divergence", "word_divergence", "kept"])
 
-    own = docs.select(*names, F.coalesce(docs["text"], F.lit("")).cast("binary").alias("measured"))
+    own = whole_texts(docs).select(*names, F.coalesce(docs["text"], F.lit("")).cast("binary").alias("measured"))
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), *(f"{c} long" for c in _COUNTS), "base_failed boolean, class_divergence double, word_divergence double, kept boolean"])
     return own.mapInArrow(run, schema)

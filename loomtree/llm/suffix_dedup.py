@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, binary, blocks, mix, only, prefix_hashes, span_hashes
+from .common import BLOCK, binary, blocks, materialize, mix, only, prefix_hashes, span_hashes
 
 GRAM = 48
 _PLACE = 22
@@ -241,6 +241,7 @@ def repeated_spans(docs: DataFrame, depth: int = 400, gram: int = GRAM, hot: int
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text", *carry).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"), *carry)
     runs = texts.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= depth).mapInArrow(_emit_runs(depth, gram), f"key long, doc_id {kind}, text_hash long, start long, n long")
+    runs = materialize(runs, "runs")
     members = runs.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = runs.join(members, "key")
     per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "n", "members")).alias("runs"))
