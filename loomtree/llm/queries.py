@@ -22,7 +22,7 @@ def op2_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), white_space_splits=True)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

@@ -5,6 +5,9 @@ SHA-256; the key is that digest and the tokenizer version's digest (its file, an
 keys; of the misses each distinct content is encoded once and its count appended to the cache. Copies inside a task are dropped before
 the shuffle, so content that a third of all rows share is sent once a task at most.
 
+Where white space always separates tokens and is dropped (white_space_splits), a text's count is the sum of its words' counts, so a task
+encodes each distinct word once and keeps its count, up to `WORDS` words.
+
 Defined results: a null text is an empty one and has no tokens; rows with null or repeated ids keep their rows; other columns are
 ignored. The cache only grows; two runs that append the same key at once leave equal rows, which reading collapses.
 """
@@ -21,15 +24,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, shared_folder
+from .common import binary, blocks, shared_folder, whole_texts
 
+WORDS = 400_000
 CACHE = "version string, digest binary, n_tokens long"
 
 
-def version(path: str, normalise: bool) -> str:
+def version(path: str, white_space_splits: bool) -> str:
     """Digest of the tokenizer's file and of the way it is called."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + f"|add_special_tokens=False|normalise={normalise}".encode()).hexdigest()
+        return hashlib.sha256(f.read() + f"|add_special_tokens=False|white_space_splits={white_space_splits}".encode()).hexdigest()
 
 
 def _counter(path: str):
@@ -48,6 +52,26 @@ def _counter(path: str):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _by_words(count):
+    """count, on distinct words. Python's split also cuts at four separators that are no white space to the tokenizer; texts with these
+    are counted whole."""
+    known: dict[str, int] = {}
+
+    def run(texts: list[str]) -> list[int]:
+        odd = [i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
+        rows = [t.split() for t in texts]
+        if len(known) > WORDS:
+            known.clear()
+        new = list({w for r in rows for w in r}.difference(known))
+        known.update(zip(new, count(new), strict=True))
+        out = [sum(map(known.__getitem__, r)) for r in rows]
+        for i, n in zip(odd, count([texts[i] for i in odd]), strict=True):
+            out[i] = n
+        return out
+
+    return run
+
+
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose digest is new in this task, which keeps the digests of its own partition."""
     seen: set[bytes] = set()
@@ -60,9 +84,11 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def _encode(path: str):
+def _encode(path: str, white_space_splits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = _counter(path), set()
+        if white_space_splits:
+            count = _by_words(count)
         for batch in batches:
             digests, texts = batch.column("digest").to_pylist(), batch.column("content")
             fresh = []
@@ -79,18 +105,18 @@ def _encode(path: str):
     return run
 
 
-def token_counts(docs: DataFrame, path: str, cache: str | None = None, normalise: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, cache: str | None = None, white_space_splits: bool = False) -> DataFrame:
     """doc_id, n_bytes, digest (of the normalised content) and n_tokens of every row of docs.
 
     path: a tokenizer file, .json or .model, that every machine has there. cache: a folder that all machines share; by default a new
-    one in the session's shared folder. normalise: only for tokenizers to which a run of ASCII white space is the same as one space.
+    one in the session's shared folder. white_space_splits: only for tokenizers that drop white space and never join what it separates.
     """
     spark = docs.sparkSession
     cache = cache or f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
-    known = version(path, normalise)
+    known = version(path, white_space_splits)
     text = F.coalesce(docs["text"], F.lit(""))
-    content = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if normalise else text
-    keyed = docs.select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content"))
+    content = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if white_space_splits else text
+    keyed = whole_texts(docs).select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("content", 256)))
 
     def stored() -> DataFrame:
@@ -105,6 +131,6 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, normalise
     before = stored()
     rows = keyed.select("digest", "content").mapInArrow(_first_seen, "digest binary, content string")
     misses = rows.join(before.select("digest"), "digest", "left_anti").repartition("digest")
-    new = misses.mapInArrow(_encode(path), "digest binary, n_tokens long")
+    new = misses.mapInArrow(_encode(path, white_space_splits), "digest binary, n_tokens long")
     new.select(F.lit(known).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     return keyed.select("doc_id", "n_bytes", "digest").join(stored(), "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
