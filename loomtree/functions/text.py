@@ -128,7 +128,7 @@ def iso(c: Column) -> Column:
 
 
 def from_ns(c: Column) -> Column:
-    return F.timestamp_micros(F.floor(c / 1000).cast("long"))
+    return F.timestamp_micros((c.cast("decimal(20,0)") / 1000).cast("long"))
 
 
 def to_ns(c: Column) -> Column:

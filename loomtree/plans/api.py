@@ -38,6 +38,7 @@ class ConversationEngine:
         self.messages = messages if messages is not None else spark.createDataFrame([], empty)
         self.extra: DataFrame | None = None
         self.counters = {"requests": 0, "errors": 0, "latency_us": 0}
+        self.timings = {"plan_us": 0, "run_us": 0}  # of the last request that was answered
         self.started = time.time()
         self._derive()
 
@@ -157,7 +158,9 @@ class ConversationEngine:
                 found = getattr(self, request["method"])(**params)
             except (TypeError, ValueError) as e:
                 raise RpcError(INVALID_PARAMS, str(e)) from e
+            planned = time.perf_counter()
             rows = [json.loads(x) for x in found.toJSON().collect()]
+            self.timings = {"plan_us": int((planned - began) * 1e6), "run_us": int((time.perf_counter() - planned) * 1e6)}
             for r in rows:
                 if "level" in r:
                     r["level_name"] = LEVEL_NAMES[r["level"]]

@@ -242,3 +242,35 @@ def validate_requests(spark, sf):
 
     rows = spark.createDataFrame(list(enumerate(REQUESTS)), "n int, raw string")
     return rows.join(check(rows.select("raw")).select("raw", "code"), "raw").select("n", "code")
+
+
+@query(f"""WITH {sql.MESSAGES}, w0 AS (SELECT session_id, turn, lower(unnest(list_filter(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]+'), lambda w: strlen(w) >= 3 AND lower(w) NOT IN ({sql.STOP_H})))) AS word FROM m),
+w1 AS (SELECT session_id, turn, word, count(*) AS n FROM w0 GROUP BY ALL), w2 AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY n DESC, word) AS r FROM w1)
+SELECT 'keyword' AS kind, word AS value, count(*) AS n_docs FROM w2 WHERE r <= 20 GROUP BY ALL""")
+def extract_merged(spark, sf):
+    m = conversations(table(spark, sf, "conversations")).select(F.struct("session_id", "turn").alias("key"), "content")
+    return S.extract_many(m, "key", "content").filter("kind = 'keyword'")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, epoch_us(ts) * 1000 AS ns, epoch_us(ts) AS back FROM events")
+def iso_times(spark, sf):
+    from ..functions import text as T
+
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", T.iso(at).alias("iso"), T.to_ns(at).alias("ns"), F.unix_micros(T.from_ns(T.to_ns(at))).alias("back"))
+
+
+@query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark, sf):
+    """The same counts from a stream over the table's files, driven to its end."""
+    raw = table(spark, sf, "events")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/event[s].parquet")
+    return X.run_to_table(X.count_by_type(X.source_events(stream)), "stream_counts").select("type", "n")
+
+
+@query(f"SELECT {_EPOCH} // 3600 * 3600 AS start, event_type AS type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf):
+    raw = table(spark, sf, "events")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/event[s].parquet")
+    found = X.run_to_table(X.tumbling(X.source_events(stream)), "stream_tumbling")
+    return found.select(F.unix_seconds("start").alias("start"), "type", "n")

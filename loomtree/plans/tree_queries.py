@@ -163,3 +163,16 @@ def sequence_numbers(spark, sf):
 def latest_wins(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     return storage.latest_wins(rows, "o_custkey", "o_orderkey")
+
+
+@query(W + "SELECT node_id, CASE level WHEN 3 THEN 'session' WHEN 2 THEN 'message' WHEN 1 THEN 'block' ELSE 'statement' END AS level_name FROM nodes")
+def level_names(spark, sf):
+    return nodes_of(spark, sf).select("node_id", "level_name")
+
+
+@query(R + _UP + r""", line AS (SELECT up.node_id, distance AS depth, trim(regexp_replace(replace(n.content, chr(10), ' '), ' +', ' ', 'g'), ' ') AS c, CASE n.level WHEN 3 THEN 'session' WHEN 2 THEN 'message' WHEN 1 THEN 'block' ELSE 'statement' END AS name
+  FROM up JOIN nodes n USING (node_id) WHERE ancestor_id = (SELECT min(node_id) FROM nodes WHERE level = 3) AND distance <= 2)
+SELECT node_id, depth, repeat('  ', depth) || '[' || name || ' ' || node_id || '] ' || CASE WHEN length(c) > 60 THEN left(c, 57) || '...' ELSE c END AS line FROM line""")
+def outline_tree(spark, sf):
+    n = nodes_of(spark, sf).cache()
+    return tree.outline(n, some(n, 3, 1), 2)
