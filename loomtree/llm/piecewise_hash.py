@@ -166,14 +166,14 @@ def with_edited_neighbours(docs: DataFrame, partitions: int | None = None) -> Da
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint of every row of docs.
 
     A text's edited form has its last half (floor of half its code points) replaced by the start of the next text, by ascending doc_id
-    (nulls first, equal ids by text); the last one's next is the first. Texts are range-sorted once; a task edits the rows of its own
+    (nulls first, equal ids by a hash of the text); the last one's next is the first. Texts are range-sorted once; a task edits the rows of its own
     range, and only each range's first and last rows meet in a second step, two rows a partition whatever the input.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    texts = only(docs, "doc_id", "text")
-    ranged = texts.repartitionByRange(partitions, "doc_id", "text") if partitions else texts.repartitionByRange("doc_id", "text")
+    texts = only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    ranged = texts.repartitionByRange(partitions, "doc_id", "h") if partitions else texts.repartitionByRange("doc_id", "h")
     schema = f"part int, role string, doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, text string"
-    found = materialize(ranged.sortWithinPartitions("doc_id", "text").mapInArrow(_beside, schema), "beside")
+    found = materialize(ranged.sortWithinPartitions("doc_id", "h").select("doc_id", "text").mapInArrow(_beside, schema), "beside")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
     heads = found.filter("role = 'first'").select(F.col("part").alias("p"), F.col("text").alias("t"), F.col("fingerprint").alias("f"))
     order = Window.orderBy("p")
