@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, blocks, materialize, only
 
-PART = 200_000
+PART = 500
 
 
 def _fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -172,7 +173,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, with_ids: b
     """doc_id, piece, start, length, ids_crc32, [ids: little-endian 32-bit,] sequence_id, offset; a row for each piece.
 
     A document of more than `size` tokens, its end token included, is cut to pieces of `size`, the first of which may be shorter.
-    part: pieces that one task ranks at most, on average.
+    part: pieces of one length that one task ranks at least before the length is divided; the root of the number of pieces if that is more.
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
@@ -180,7 +181,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, with_ids: b
     pieces = materialize(texts.mapInArrow(_pieces(path, size, end, with_ids), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = pieces.sparkSession.sparkContext.broadcast(_places(counts, size))
-    parts = 1 + max(counts.values(), default=0) // part
+    # About the root of a length's pieces in each part, so neither parts nor what is in one grow as fast as the table.
+    parts = 1 + max(counts.values(), default=0) // max(part, math.isqrt(sum(counts.values())))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sums = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     first = sums.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("first"))
