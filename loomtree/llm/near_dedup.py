@@ -4,12 +4,15 @@ A document is its sequence of words; its k-mers are runs of five words, each lab
 k-mer counts as often as it occurs. A sketch draws the `length` labelled k-mers with the smallest hashes and keeps them in text order;
 documents that agree in one of `sketches` sketches are candidates. Two documents are near duplicates if their edit similarity, one less
 the words to insert, delete or replace over the words of the longer, is 0.8 or more; a banded alignment of the whole word sequences
-decides (each word is one of 53,248 characters there, and Spark's levenshtein stops at the band).
+decides, on 32-bit word hashes.
 
 How groups are kept small: documents with equal word sequences are one representative from the start. In each bucket (documents with
-one sketch) all are aligned with the first ones, the leaders; who is near a leader is done in this bucket, the rest goes on with new
-leaders, four times as many each round, until no bucket has two documents left. So a large group of near copies costs one alignment
-per member and bucket, and nothing is capped. Classes are the connected components of the links.
+one sketch) all are aligned with one of them, the leader. Where all are near, the bucket is done: a large group of near copies costs
+one alignment per member and bucket (up to `stars`, with another leader each time); documents that links have joined already, by whatever way, are not compared again. Where some
+are apart (documents that share a passage and no more), the bucket is divided by another sketch of the documents, and each part gets
+a leader of its own. Near copies agree in many sketches and stay together in most of their buckets, strangers part soon; so candidates
+stay in proportion to rows, and nothing is capped. What is still crowded after `levels` divisions is compared pair by pair. Classes are
+the connected components of the links.
 
 Defined results: a null text is an empty one; all texts without words form one class; texts of fewer than five words have their
 whole sequence as the only k-mer; rows with null or repeated ids keep their rows; class_id is the smallest id in the class (null if
@@ -22,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, blocks, materialize, mix, only, prefix_hashes, span_hashes, words
 from .components import components
 
 K, SIMILAR = 5, 0.8
-_FIRST, _CHARS = 0x800, 0xD800 - 0x800
+CELLS = 16384
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -125,17 +128,118 @@ def _emit_sketches(sketches: int, length: int, k: int):
 
 
 def _emit_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as a string of one character a word."""
+    """Each text as 32-bit hashes of its words."""
     for batch in batches:
         data, at = binary(batch.column("text"))
         for lo, hi, d, o in blocks(data, at):
             h, first = _word_hashes(d, o)
-            chars = (h % np.uint64(_CHARS)).astype("<u4") + np.uint32(_FIRST)
-            strings = [chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(strings, pa.string())], ["rep", "seq"])
+            short = (h >> np.uint64(32)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "seq"])
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 24, length: int = 2) -> DataFrame:
+def _bag_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the edit distance: of what the longer has, what the other has not."""
+    both = np.concatenate([x, y])
+    side = np.ones(len(both), np.int32)
+    side[len(x) :] = -1
+    order = np.argsort(both, kind="stable")
+    s = both[order]
+    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    surplus = np.add.reduceat(side[order], at) if len(s) else side
+    return int(max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()))
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
+    """Edit distances of pairs, all at once, inside a band around the diagonal; band + 1 if it is larger."""
+    n, m = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    wide, p = 2 * band + 1, len(pairs)
+    a = np.zeros((p, max(int(n.max()), 1)), np.uint32)
+    b = np.zeros((p, int(m.max()) + int(n.max()) + 2 * wide), np.uint32)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)] = x
+        b[i, band : band + len(y)] = y
+    inf = np.int32(1 << 28)
+    ramp = np.arange(wide, dtype=np.int32)
+    # Cell k of row i is column i + k - band.
+    d = np.where(ramp >= band, ramp - band, inf).astype(np.int32) + np.zeros((p, 1), np.int32)
+    out = np.full(p, band + 1, np.int64)
+    inside = np.abs(m - n) <= band
+    live = np.flatnonzero(inside)
+    a, b, n, m, d = a[live], b[live], n[live], m[live], d[live]
+    for i in range(int(n.max(initial=-1)) + 1):
+        if i:
+            new = d + (a[:, i - 1 : i] != b[:, i - 1 : i - 1 + wide])
+            np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])
+            if i <= band:
+                new[:, : band - i] = inf
+                new[:, band - i] = i
+            d = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        hit = np.flatnonzero(n == i)
+        if len(hit):
+            out[live[hit]] = np.minimum(d[hit, m[hit] - i + band], band + 1)
+        if i % 8 == 7:
+            # Pairs that are done, or over the band in the whole row and so for good, leave.
+            stay = np.flatnonzero((d.min(axis=1) <= band) & (n > i))
+            if not len(stay):
+                break
+            if 2 * len(stay) <= len(live):
+                live, a, b, n, m, d = live[stay], a[stay], b[stay], n[stay], m[stay], d[stay]
+    return out
+
+
+def edit_similar(left: list[np.ndarray], right: list[np.ndarray], similar: float) -> np.ndarray:
+    """Whether pairs of sequences have that edit similarity. Equal ends are cut off, pairs that even as bags differ too much are done;
+    the others are aligned in a band that doubles until the distance fits or the limit is reached."""
+    out = np.zeros(len(left), bool)
+    open_: list[tuple[int, int, np.ndarray, np.ndarray, int]] = []
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        most = int((1 - similar) * max(len(x), len(y)) + 1e-9)
+        if abs(len(x) - len(y)) > most:
+            continue
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        start = int(differ[0]) if len(differ) else n
+        x, y = x[start:], y[start:]
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+        end = int(differ[0]) if len(differ) else n
+        x, y = x[: len(x) - end], y[: len(y) - end]
+        if not len(x) or not len(y):
+            out[i] = max(len(x), len(y)) <= most
+        elif (least := _bag_distance(x, y)) <= most:
+            open_.append((i, most, x, y, least))
+    band = 16
+    while open_:
+        open_.sort(key=lambda o: len(o[2]))
+        later = [o for o in open_ if o[4] > band]
+        open_ = [o for o in open_ if o[4] <= band]
+        left_, at = [], 0
+        step = max(1, CELLS // (2 * band + 1))
+        while at < len(open_):
+            part = open_[at : at + step]
+            at += step
+            for o, d in zip(part, _aligned([(o[2], o[3]) for o in part], band), strict=True):
+                if d <= band or band >= o[1]:
+                    out[o[0]] = d <= o[1] and d <= band
+                else:
+                    left_.append(o)
+        open_, band = left_ + later, band * 2
+    return out
+
+
+def _emit_near(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("x", "y"):
+                data, at = binary(batch.column(name))
+                sides.append([data[a:b].view("<u4") for a, b in zip(at[:-1], at[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("rep"), pa.array(edit_similar(*sides, similar), pa.bool_())], ["leader", "rep", "near"])
+
+    return run
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 24, length: int = 2, stars: int = 3, levels: int = 8) -> DataFrame:
     """doc_id, row_key (hash of id and text), n_words, class_id and class_size for every row of docs, and whether it is the one to keep.
 
     keep marks one row of each class, or more if rows are equal in id and text.
@@ -146,46 +250,64 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
     # rep, 64 bits of the word sequence, names all documents with that sequence; row is one of them.
     sequence = F.xxhash64("d1", "d2").alias("rep")
     unique = materialize(sketched.groupBy(sequence).agg(F.min("n_words").alias("n_words"), F.min("row_key").alias("row"), F.first("sketches").alias("sketches")), "unique")
+    # What one document has alone in a bucket needs no further look.
     buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.posexplode("sketches").alias("i", "sketch"))
     crowded = buckets.groupBy("i", "sketch").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    left = materialize(buckets.join(crowded, ["i", "sketch"]).select(F.xxhash64("i", "sketch").alias("bucket"), "rep", "row"), "buckets")
-    needed = left.select("rep", F.col("row").alias("row_key")).distinct()
-    left = left.select("bucket", "rep")
-    sequences = texts.select("row_key", "text").join(needed, "row_key").select("rep", "text").mapInArrow(_emit_sequences, "rep long, seq string")
+    rows = materialize(buckets.join(crowded, ["i", "sketch"]).select(F.xxhash64("i", "sketch").alias("bucket"), "rep", "row"), "buckets")
+    needed = rows.select("rep", F.col("row").alias("row_key")).distinct()
+    own = materialize(unique.select("rep", "n_words", "sketches").join(needed.select("rep"), "rep", "left_semi"), "own")
+    rows = rows.select("bucket", "rep")
+    sequences = texts.select("row_key", "text").join(needed, "row_key").select("rep", "text").mapInArrow(_emit_sequences, "rep long, seq binary")
     sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
-    done, most = None, 1
-    while not left.isEmpty():
-        if most == 1:
-            first = left.groupBy("bucket").agg(F.min("rep").alias("leader"))
-            chosen = first.select("bucket", F.array("leader").alias("leaders"))
+    label = own.select("rep", F.col("rep").alias("class"), "n_words")
+    done = None
+    # Lengths alone rule a pair out.
+    fits = F.least("m", "n") >= F.greatest("m", "n") * similar - 1e-9
+    for level in range(levels + 1):
+        rows = rows.join(label, "rep")
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("c"), F.max("class").alias("d"), F.min_by(F.struct("rep", "class", "n_words"), F.xxhash64("rep", F.lit(level))).alias("leader"))
+        mixed = mixed.filter("c <> d").select("bucket", "n", "leader")
+        rows = materialize(rows.join(mixed, "bucket"), "crowded")
+        if rows.isEmpty():
+            break
+        if level < levels:
+            led = rows.select(F.col("leader.rep").alias("leader"), F.col("leader.class").alias("c"), F.col("leader.n_words").alias("m"), "rep", F.col("class").alias("d"), F.col("n_words").alias("n"))
+            led = led.filter((F.col("c") != F.col("d")) & fits)
         else:
-            smallest = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-            left = left.join(smallest, "bucket")
-            ranked = left.select("bucket", "rep", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("r")).filter(F.col("r") <= most)
-            chosen = ranked.groupBy("bucket").agg(F.collect_list("rep").alias("leaders"))
-        both = left.join(chosen, "bucket").select("bucket", "rep", F.explode("leaders").alias("leader"))
-        both = materialize(both, "led")
-        asked = both.filter("leader < rep").select("leader", "rep").distinct()
-        if done is not None:
-            asked = asked.join(done.select("leader", "rep"), ["leader", "rep"], "left_anti")
-        a = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"), F.length("seq").alias("nx"))
-        b = sequences.select("rep", F.col("seq").alias("y"), F.length("seq").alias("ny"))
-        band = F.floor((1 - F.lit(similar)) * F.greatest("nx", "ny") + 1e-9).cast("int")
-        judged = asked.join(a, "leader").join(b, "rep").withColumn("band", band)
-        near = F.when(F.abs(F.col("nx") - F.col("ny")) > F.col("band"), F.lit(False)).otherwise(F.expr("levenshtein(x, y, band)") >= 0)
-        judged = materialize(judged.select("leader", "rep", near.alias("near")), "judged")
-        done = judged if done is None else done.unionByName(judged)
-        found = done.filter("near").select("leader", "rep")
-        settled = both.join(found, ["leader", "rep"]).select("bucket", "rep")
-        settled = settled.unionByName(both.filter("leader = rep").select("bucket", "rep")).distinct()
-        left = materialize(left.join(settled, ["bucket", "rep"], "left_anti"), "left")
-        most *= 4
+            most = rows.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("usual"))
+            few = rows.join(most, "bucket").filter("class <> usual").select("bucket", F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
+            rest = rows.select(F.col("bucket").alias("other"), "rep", F.col("class").alias("d"), F.col("n_words").alias("n"))
+            led = few.join(rest, (F.col("bucket") == F.col("other")) & (F.col("c") != F.col("d")) & fits)
+        led = led.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
+        asked = materialize(led if done is None else led.join(done, ["leader", "rep"], "left_anti"), "asked")
+        done = asked if done is None else done.unionByName(asked)
+        a = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"))
+        both = asked.join(a, "leader").join(sequences.withColumnRenamed("seq", "y"), "rep")
+        near = materialize(both.select("leader", "rep", "x", "y").mapInArrow(_emit_near(similar), "leader long, rep long, near boolean").filter("near"), "near")
+        if not near.isEmpty():
+            c = label.select(F.col("rep").alias("leader"), F.col("class").alias("a"))
+            d = label.select("rep", F.col("class").alias("b"))
+            merged = components(near.join(c, "leader").join(d, "rep").select("a", "b")).withColumnRenamed("node", "class")
+            label = materialize(label.join(merged, "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words"), "label")
+        if level == levels:
+            break
+        # A bucket of two has been compared. Of the others those that still hold several classes are divided.
+        open_rows = rows.filter("n > 2").select("bucket", "rep").join(label, "rep")
+        apart = open_rows.groupBy("bucket").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d")
+        open_rows = open_rows.join(apart.select("bucket"), "bucket", "left_semi").select("bucket", "rep").join(own, "rep")
+        if level < stars - 1:
+            rows = open_rows.select("bucket", "rep")
+            continue
+        way = (F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(sketches)) + 1).cast("int")
+        parts = open_rows.select(F.xxhash64("bucket", way, F.element_at("sketches", way)).alias("bucket"), "rep")
+        parts = materialize(parts, "parts")
+        # Of parts with the same documents one is enough.
+        several = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", F.lit("a"))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("b"))).alias("y")).filter("n > 1")
+        several = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+        rows = parts.join(several, "bucket", "left_semi")
+    label = label.select("rep", F.col("class").alias("component"))
     base = unique.select("rep")
-    if done is not None:
-        label = components(done.filter("near").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-        base = base.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    else:
-        base = base.withColumn("component", F.col("rep"))
+    base = base.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
     rows = sketched.select("doc_id", "row_key", "n_words", sequence)
     sizes = rows.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
     classes = base.join(sizes, "rep").groupBy("component").agg(F.sum("n").alias("class_size"), F.min("least").alias("least"))
