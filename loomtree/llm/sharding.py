@@ -15,7 +15,7 @@ rows; other columns are ignored. Slots number a shard's records by key, doc_id a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -23,13 +23,12 @@ from .common import materialize
 OVERHEAD = 16
 
 
-def _hash32(c) -> F.Column:
+def _hash32(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
 def shard(docs: DataFrame, shards: int = 40, ranges: int = 1024, hot: float = 0.125) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot of every row of docs. hot: a text whose copies fill more of a shard is subdivided."""
-    spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"], (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _hash32(text).alias("high"))
     rows = materialize(rows, "rows")
@@ -47,15 +46,14 @@ def shard(docs: DataFrame, shards: int = 40, ranges: int = 1024, hot: float = 0.
     drawn = atoms.filter(F.pmod(F.xxhash64("key"), F.lit(2**31)) / 2**31 < F.col("bytes") / step).select("key")
     splitters = [int(x) for x in (drawn.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or [])]
     splitters = sorted(set(splitters))
-    # Two steps of about the square root of the splitters each, inside code generation's reach.
+    # Two steps of about the square root of the splitters each: first among every `wide`th one, then among those after it.
     wide = max(1, int(len(splitters) ** 0.5))
-    fine = [splitters[i : i + wide] for i in range(0, len(splitters), wide)]
-    coarse = F.array(*[F.lit(x[0]) for x in fine]) if fine else F.array().cast("array<long>")
-    grid = spark.createDataFrame([(i, x) for i, x in enumerate(fine, 1)] or [(1, [])], "block int, inner array<long>")
-    block = F.size(F.filter(coarse, lambda x: x <= F.col("key")))
-    ranged = atoms.withColumn("block", block).join(F.broadcast(grid), "block", "left")
-    inner = F.coalesce(F.size(F.filter("inner", lambda x: x <= F.col("key"))), F.lit(0))
-    ranged = ranged.withColumn("range", F.col("block") * (wide + 1) + inner).drop("block", "inner")
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
+    fine = F.array(longs([]), *[longs(splitters[i + 1 : i + wide]) for i in range(0, len(splitters), wide)])
+    block = F.size(F.filter(longs(splitters[::wide]), lambda x: x <= F.col("key")))
+    ranged = atoms.withColumn("block", block)
+    inner = F.size(F.filter(F.element_at(fine, F.col("block") + 1), lambda x: x <= F.col("key")))
+    ranged = ranged.withColumn("range", F.col("block") * wide + inner).drop("block")
     ranged = materialize(ranged, "atoms")
     order = Window.orderBy("range")
     sums = ranged.groupBy("range").agg(F.sum("bytes").alias("b"), F.sum("n").alias("r"))
