@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def whole_texts(df: DataFrame, rows: int = 2000, size: int = 8 << 20) -> DataFrame:
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work, giving freed memory back to the system when a task ends: workers live on, idle ones beside busy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def small(keys: DataFrame, rows: int = 500_000) -> DataFrame:
+    """keys, to be broadcast if they are that few (a count decides; a row of keys takes some 50 bytes), else left to a shuffle join."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def whole_texts(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> DataFrame:
     """df, after limiting what the session sends to Python at once, as rows here are whole texts: by rows, and by bytes where the
     release knows such a limit."""
     conf = df.sparkSession.conf

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, mix, only, prefix_hashes, span_hashes, words
+from .common import binary, blocks, lean, materialize, mix, only, prefix_hashes, small, span_hashes, words
 from .components import components
 
 K, SIMILAR = 5, 0.8
-CELLS = 16384
+
+#: Cells of one row over all pairs, and words of padded sequences, that are aligned at a time.
+CELLS, PADDED = 16384, 1 << 20
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -214,10 +216,12 @@ def edit_similar(left: list[np.ndarray], right: list[np.ndarray], similar: float
         later = [o for o in open_ if o[4] > band]
         open_ = [o for o in open_ if o[4] <= band]
         left_, at = [], 0
-        step = max(1, CELLS // (2 * band + 1))
         while at < len(open_):
-            part = open_[at : at + step]
-            at += step
+            # As many pairs of about one length as keep a row of cells, and the padded sequences, small.
+            part = open_[at : at + max(1, CELLS // (2 * band + 1))]
+            padded = np.array([len(o[2]) for o in part]) * np.arange(1, len(part) + 1)
+            part = part[: max(1, int(np.searchsorted(padded, PADDED // 2, side="right")))]
+            at += len(part)
             for o, d in zip(part, _aligned([(o[2], o[3]) for o in part], band), strict=True):
                 if d <= band or band >= o[1]:
                     out[o[0]] = d <= o[1] and d <= band
@@ -239,14 +243,14 @@ def _emit_near(similar: float):
     return run
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 24, length: int = 2, stars: int = 3, levels: int = 8) -> DataFrame:
+def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 24, length: int = 2, stars: int = 2, levels: int = 6) -> DataFrame:
     """doc_id, row_key (hash of id and text), n_words, class_id and class_size for every row of docs, and whether it is the one to keep.
 
     keep marks one row of each class, or more if rows are equal in id and text.
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    sketched = materialize(texts.mapInArrow(_emit_sketches(sketches, length, k), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>"), "sketches")
+    sketched = materialize(texts.mapInArrow(lean(_emit_sketches(sketches, length, k)), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>"), "sketches")
     # rep, 64 bits of the word sequence, names all documents with that sequence; row is one of them.
     sequence = F.xxhash64("d1", "d2").alias("rep")
     unique = materialize(sketched.groupBy(sequence).agg(F.min("n_words").alias("n_words"), F.min("row_key").alias("row"), F.first("sketches").alias("sketches")), "unique")
@@ -254,10 +258,10 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
     buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.posexplode("sketches").alias("i", "sketch"))
     crowded = buckets.groupBy("i", "sketch").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = materialize(buckets.join(crowded, ["i", "sketch"]).select(F.xxhash64("i", "sketch").alias("bucket"), "rep", "row"), "buckets")
-    needed = rows.select("rep", F.col("row").alias("row_key")).distinct()
+    needed = materialize(rows.select("rep", F.col("row").alias("row_key")).distinct(), "needed")
     own = materialize(unique.select("rep", "n_words", "sketches").join(needed.select("rep"), "rep", "left_semi"), "own")
     rows = rows.select("bucket", "rep")
-    sequences = texts.select("row_key", "text").join(needed, "row_key").select("rep", "text").mapInArrow(_emit_sequences, "rep long, seq binary")
+    sequences = texts.select("row_key", "text").join(small(needed), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
     sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
     label = own.select("rep", F.col("rep").alias("class"), "n_words")
     done = None
@@ -283,7 +287,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
         done = asked if done is None else done.unionByName(asked)
         a = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"))
         both = asked.join(a, "leader").join(sequences.withColumnRenamed("seq", "y"), "rep")
-        near = materialize(both.select("leader", "rep", "x", "y").mapInArrow(_emit_near(similar), "leader long, rep long, near boolean").filter("near"), "near")
+        near = materialize(both.select("leader", "rep", "x", "y").mapInArrow(lean(_emit_near(similar)), "leader long, rep long, near boolean").filter("near"), "near")
         if not near.isEmpty():
             c = label.select(F.col("rep").alias("leader"), F.col("class").alias("a"))
             d = label.select("rep", F.col("class").alias("b"))
@@ -317,10 +321,11 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
 
 def without_near_copies(docs: DataFrame, **more) -> DataFrame:
     """docs with one document of each class: the one with the smallest id."""
-    kept = near_classes(docs, **more).filter("keep").groupBy("row_key").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept")
-    key = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    out = docs.withColumn("near_dedup_key", key).join(kept.select(F.col("row_key").alias("near_dedup_key")), "near_dedup_key")
-    if not kept.filter("n > 1").isEmpty():
+    classes = near_classes(docs, **more)
+    counts = materialize(classes.groupBy("row_key").agg(F.count("*").alias("n"), F.first("keep").alias("keep")).filter("n > 1 OR NOT keep"), "counts")
+    out = docs.withColumn("near_dedup_key", F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))))
+    gone = counts.filter("NOT keep").select(F.col("row_key").alias("near_dedup_key"))
+    out = out.join(small(gone), "near_dedup_key", "left_anti")
+    if not counts.filter("keep").isEmpty():  # rows that are equal in id and text
         out = out.dropDuplicates(["near_dedup_key"])
     return out.select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, only
+from .common import binary, blocks, lean, materialize, only
 
 PART = 500
 
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, with_ids: b
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = materialize(texts.mapInArrow(_pieces(path, size, end, with_ids), schema), "pieces")
+    pieces = materialize(texts.mapInArrow(lean(_pieces(path, size, end, with_ids)), schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = pieces.sparkSession.sparkContext.broadcast(_places(counts, size))
     # About the root of a length's pieces in each part, so neither parts nor what is in one grow as fast as the table.
@@ -192,4 +192,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _placed(places.value)(batches)
 
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), schema + ", sequence_id long, offset long")

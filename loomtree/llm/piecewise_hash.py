@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, mix, only, prefix_hashes, span_hashes
+from .common import binary, blocks, lean, materialize, mix, only, prefix_hashes, span_hashes
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LEAST, CHUNKS, CONTEXT, MOST = 3, 64, 7, 256
@@ -105,7 +105,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every row of docs."""
     kind = dict(docs.dtypes)["doc_id"]
-    return only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(_emit, f"doc_id {kind}, fingerprint string")
+    return only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(lean(_emit), f"doc_id {kind}, fingerprint string")
 
 
 def _edited(text: str, following: str) -> str:
@@ -173,7 +173,7 @@ def with_edited_neighbours(docs: DataFrame, partitions: int | None = None) -> Da
     texts = only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
     ranged = texts.repartitionByRange(partitions, "doc_id", "h") if partitions else texts.repartitionByRange("doc_id", "h")
     schema = f"part int, role string, doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, text string"
-    found = materialize(ranged.sortWithinPartitions("doc_id", "h").select("doc_id", "text").mapInArrow(_beside, schema), "beside")
+    found = materialize(ranged.sortWithinPartitions("doc_id", "h").select("doc_id", "text").mapInArrow(lean(_beside), schema), "beside")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
     heads = found.filter("role = 'first'").select(F.col("part").alias("p"), F.col("text").alias("t"), F.col("fingerprint").alias("f"))
     order = Window.orderBy("p")
@@ -182,5 +182,5 @@ def with_edited_neighbours(docs: DataFrame, partitions: int | None = None) -> Da
     tails = found.filter("role = 'last'").drop("next_fingerprint").join(after, F.col("part") == F.col("p")).drop("p").crossJoin(F.broadcast(least))
     tails = tails.withColumn("to", F.coalesce("to", "p0")).join(heads, F.col("to") == F.col("p"))
     tails = tails.select("doc_id", "n_chars", "fingerprint", "text", F.col("t").alias("following"), F.col("f").alias("next_fingerprint"))
-    ends = tails.mapInArrow(_ends, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    ends = tails.mapInArrow(lean(_ends), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
     return found.filter("role = 'done'").select(*columns).unionByName(ends)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, only
+from .common import binary, blocks, lean, materialize, only
 from .statistics import CLASSES, COMMON, Document, class_counts, word_table
 
 _TABLE = word_table()
@@ -104,7 +104,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and the named column of 0 and 1."""
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
-    found = materialize(texts.mapInArrow(_emit, f"doc_id {kind}, x array<double>"), "statistics")
+    found = materialize(texts.mapInArrow(lean(_emit), f"doc_id {kind}, x array<double>"), "statistics")
     wide = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     moments = found.agg(*(f(F.col("x")[i]) for i in range(wide) for f in (F.avg, F.stddev_pop))).first()
     mean, scale = (np.array([v or 0.0 for v in moments[i::2]]) for i in (0, 1))
@@ -129,7 +129,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, f, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (n + 1)), pa.array(g.ravel()))], ["fold", "i", "row"])
 
     schema = "fold int, i int, row array<double>"
-    rows = train.mapInArrow(equations, schema).repartition("i").mapInArrow(_sum_rows, schema).collect()
+    rows = train.mapInArrow(lean(equations), schema).repartition("i").mapInArrow(lean(_sum_rows), schema).collect()
     sums = np.zeros((3, features + 1, features + 2))
     for r in rows:
         sums[r["fold"], r["i"]] = r["row"]
@@ -146,7 +146,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
                 yield pa.RecordBatch.from_arrays([pa.array(_bin(raw)), batch.column("y")], ["bin", "y"])
 
     total, ones = np.zeros(BINS), np.zeros(BINS)
-    for r in train.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect():
+    for r in train.mapInArrow(lean(binned), "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect():
         total[r["bin"]], ones[r["bin"]] = r["n"], r["s"]
     fitted = isotonic(total, ones)
 
@@ -156,5 +156,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
             score = 0.999 * fitted[_bin(raw)] + 0.001 * np.clip((raw - RANGE[0]) / (RANGE[1] - RANGE[0]), 0, 1) if total.any() else np.full(len(raw), 0.5)
             yield batch.drop_columns(["x"]).append_column("score", pa.array(score))
 
-    out = found.mapInArrow(scored, f"doc_id {kind}, score double")
+    out = found.mapInArrow(lean(scored), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, materialize, only, whole_texts
+from .common import binary, blocks, lean, materialize, only, whole_texts
 from .statistics import CLASSES, COMMON, Document, class_counts, word_table
 
 #: What is compared: classes that tell prose from junk; digits count as letters, so that numbers and names in prose don't matter.
@@ -106,7 +106,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[list[np.ndar
     """Class and word histograms, one of each per language label of a large enough share; so at most 1 / min_share of them."""
     kind = dict(docs.dtypes)["lang"]
     texts = only(docs, "text", "lang").withColumn("text", F.col("text").cast("binary"))
-    measured = texts.mapInArrow(_emit_measures(limits), f"lang {kind}, sound boolean, classes array<int>, common array<int>").filter("sound")
+    measured = texts.mapInArrow(lean(_emit_measures(limits)), f"lang {kind}, sound boolean, classes array<int>, common array<int>").filter("sound")
     measured = materialize(measured, "measures")
     total = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     medians = [F.percentile_approx(F.col("classes")[i] / total, 0.5, 1000) for i in range(len(GROUPS))]
@@ -132,7 +132,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[list[np.ndar
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "n", "common"])
 
-    partial = measured.mapInArrow(summed, f"lang {kind}, n long, common array<long>")
+    partial = measured.mapInArrow(lean(summed), f"lang {kind}, n long, common array<long>")
     cells = partial.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("common")[i]) for i in range(len(COMMON) + 1)]).alias("common"))
     common = [np.array(r["common"], float) for r in sorted(cells.filter(enough).collect(), key=lambda r: str(r["lang"]))]
     return classes, common
@@ -156,4 +156,4 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     own = whole_texts(docs).select(*names, F.coalesce(docs["text"], F.lit("")).cast("binary").alias("measured"))
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), *(f"{c} long" for c in _COUNTS), "base_failed boolean, class_divergence double, word_divergence double, kept boolean"])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, binary, blocks, materialize, mix, only, prefix_hashes, span_hashes
+from .common import BLOCK, binary, blocks, lean, materialize, mix, only, prefix_hashes, span_hashes
 
 GRAM = 48
 _PLACE = 22
@@ -240,16 +240,16 @@ def repeated_spans(docs: DataFrame, depth: int = 400, gram: int = GRAM, hot: int
     gram = max(1, min(gram, depth // 2))
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text", *carry).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"), *carry)
-    runs = texts.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= depth).mapInArrow(_emit_runs(depth, gram), f"key long, doc_id {kind}, text_hash long, start long, n long")
+    runs = texts.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= depth).mapInArrow(lean(_emit_runs(depth, gram)), f"key long, doc_id {kind}, text_hash long, start long, n long")
     runs = materialize(runs, "runs")
     members = runs.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = runs.join(members, "key")
     per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "n", "members")).alias("runs"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     with_runs = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "text", *carry, "runs")
-    chunks = with_runs.mapInArrow(_emit_chunks(depth), f"key long, doc_id {kind}, text_hash long, start long, members long, chunk binary")
-    spans = chunks.filter(F.col("members") <= hot).repartition("key").sortWithinPartitions("key").select("key", "doc_id", "text_hash", "start", "chunk").mapInArrow(_emit_spans(depth), f"doc_id {kind}, text_hash long, lo long, hi long")
-    windows = chunks.filter(F.col("members") > hot).mapInArrow(_emit_windows(depth), f"window long, doc_id {kind}, text_hash long, lo long")
+    chunks = with_runs.mapInArrow(lean(_emit_chunks(depth)), f"key long, doc_id {kind}, text_hash long, start long, members long, chunk binary")
+    spans = chunks.filter(F.col("members") <= hot).repartition("key").sortWithinPartitions("key").select("key", "doc_id", "text_hash", "start", "chunk").mapInArrow(lean(_emit_spans(depth)), f"doc_id {kind}, text_hash long, lo long, hi long")
+    windows = chunks.filter(F.col("members") > hot).mapInArrow(lean(_emit_windows(depth)), f"window long, doc_id {kind}, text_hash long, lo long")
     often = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
     hot_spans = windows.join(often, "window").select("doc_id", "text_hash", "lo", (F.col("lo") + depth).alias("hi"))
     return texts, spans.unionByName(hot_spans)
@@ -267,4 +267,4 @@ def remove_repeats(docs: DataFrame, depth: int = 400, carry: tuple[str, ...] = (
     cuts = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     both = texts.join(cuts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text_hash", "text", *carry, "spans")
     schema = f"doc_id {kinds['doc_id']}, text_hash long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept {'string' if as_text else 'binary'}"
-    return both.mapInArrow(_emit_kept(carry, as_text), schema + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    return both.mapInArrow(lean(_emit_kept(carry, as_text)), schema + "".join(f", `{c}` {kinds[c]}" for c in carry))

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, shared_folder, whole_texts
+from .common import binary, blocks, lean, shared_folder, whole_texts
 
 WORDS = 400_000
 CACHE = "version string, digest binary, n_tokens long"
@@ -129,8 +129,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, white_spa
         return rows.filter(F.col("version") == known).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     before = stored()
-    rows = keyed.select("digest", "content").mapInArrow(_first_seen, "digest binary, content string")
+    rows = keyed.select("digest", "content").mapInArrow(lean(_first_seen), "digest binary, content string")
     misses = rows.join(before.select("digest"), "digest", "left_anti").repartition("digest")
-    new = misses.mapInArrow(_encode(path, white_space_splits), "digest binary, n_tokens long")
+    new = misses.mapInArrow(lean(_encode(path, white_space_splits)), "digest binary, n_tokens long")
     new.select(F.lit(known).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     return keyed.select("doc_id", "n_bytes", "digest").join(stored(), "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
