@@ -90,11 +90,9 @@ def knn_many(embeddings: DataFrame, queries: DataFrame, k: int, metric: str = "l
 
 
 def pool(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """key, embedding: mean by position over all vectors of a key, then unit length. Sums are combined on the map side."""
+    """key, embedding: mean by position over all vectors of a key (of one length), then unit length. Sums are combined on the map side."""
     wide = vectors.select(key, F.posexplode(embedding).alias("i", "x"))
-    means = wide.groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    n = vectors.groupBy(key).agg(F.count("*").alias("n"))
-    means = means.join(n, key).select(key, F.struct("i", (F.col("s") / F.col("n")).alias("m")).alias("e"))
+    means = wide.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m")).select(key, F.struct("i", "m").alias("e"))
     pooled = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["m"]).alias("v"))
     return pooled.select(key, F.transform(normalize(F.col("v")), lambda x: x.cast("float")).alias("embedding"))
 

@@ -73,10 +73,23 @@ def test_rpc(loaded):
     assert [r["level"] for r in call(method="zoom_out", params={"id": found[0]["node_id"]})["result"]] == [3, 2, 1, 0]
     assert len(call(method="list_sessions")["result"]) == 6
     assert "loomtree_requests" in loaded.metrics() and loaded.health()["errors"] >= 4
-    assert "session" not in call_tool(loaded, "memory_query", {"query": "topic1"}) or True
+    assert call_tool(loaded, "memory_query", {"query": "topic1", "max_results": 2}).startswith("[")
     assert call_tool(loaded, "memory_list_sessions", {"agent_id": "gamma"}).startswith("s5 (agent gamma)")
 
 
+def test_rest(loaded):
+    from loomtree.plans.rest import handle
+
+    assert handle(loaded, "GET", "/health")[0] == 200 and "loomtree_nodes" in handle(loaded, "GET", "/metrics")[1]
+    status, body = handle(loaded, "GET", "/nodes/1")
+    assert status == 200 and json.loads(body)["level"] == 3
+    assert handle(loaded, "GET", "/nodes/9999")[0] == 404 and handle(loaded, "GET", "/sessions/none")[0] == 404
+    assert json.loads(handle(loaded, "GET", "/sessions/s1")[1])[0]["session_id"] == "s1"
+    assert handle(loaded, "POST", "/query", "{bad")[0] == 400 and handle(loaded, "PUT", "/query")[0] == 404
+    assert len(json.loads(handle(loaded, "POST", "/drill_down", '{"id": 1}')[1])) == 1
+    assert loaded.timings["run_us"] > 0
+
+
 def test_store(spark):
     e = engine(spark, [(1, 0, "s", "a", "user", "First message.", NOW)])
     made = e.store("a", "s", "Second one. With two", "assistant").orderBy("node_id").collect()
