@@ -28,20 +28,14 @@ def conversations(raw: DataFrame, blank_lines: bool = True) -> DataFrame:
     )
 
 
-def _exclusive_sums(df: DataFrame, order: list[str], values: list[str], cuts: list) -> DataFrame:
-    """df with before_<value>: the sum of value over all rows before, in an order over all rows. Ranges of the first order column are
-    summed on their own and then joined, so no task sees more than a range; cuts are the ranges' first values."""
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>") if cuts else F.array().cast("array<long>"), lambda x: x <= F.col(order[0]))))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(v) for v in values))
-    totals = totals.select("_range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias("_" + v) for v in values))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for v in values:
-        ranged = ranged.withColumn("before_" + v, F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    joined = ranged.join(F.broadcast(totals), "_range")
-    for v in values:
-        joined = joined.withColumn("before_" + v, F.col("before_" + v) + F.col("_" + v))
-    return joined.drop("_range", *("_" + v for v in values))
+_NODE = "struct<node_id:long,level:tinyint,parent_id:long,role:string,content:string,block_type:string,lang:string,stmt_type:string,sequence_num:long>"
+
+
+def _node(offset: Column, level: int, parent: Column, content: Column, kind: Column | None = None, lang: Column | None = None, stmt: Column | None = None) -> Column:
+    """A node so many places after its message."""
+    void = F.lit(None)
+    fields = (F.col("message_id") + offset, F.lit(level), parent, F.col("role"), content, kind, lang, stmt, F.col("message_seq") + offset)
+    return F.struct(*(void if f is None else f for f in fields)).cast(_NODE)
 
 
 def build_nodes(messages: DataFrame, ranges: int = 64) -> DataFrame:
@@ -49,42 +43,42 @@ def build_nodes(messages: DataFrame, ranges: int = 64) -> DataFrame:
 
     node_id counts from 1 in that order. sequence_num shares one counter with the sessions' own records: a new session takes two
     numbers, a message in a known one takes one more than its nodes. Empty statements are not stored.
+
+    Ids are prefix sums over all messages. Sessions are dealt to ranges of session_seq; a task sums inside a range, and the ranges'
+    totals, one row each, are added to that. So messages are shuffled once, and each gives all its nodes in one step.
     """
-    parsed = messages.withColumn("blocks", parse_h(F.col("content")))
-    kept = F.transform("blocks", lambda b: F.size(F.filter(b["statements"], lambda s: s["content"] != "")))
-    counts = parsed.select("session_seq", "turn", F.aggregate(kept, F.lit(0).cast("long"), lambda a, n: a + n + 1).alias("inner"))
-    first = counts.groupBy("session_seq").agg(F.min("turn").alias("first_turn"))
-    counts = counts.join(first, "session_seq").withColumn("is_first", (F.col("turn") == F.col("first_turn")).cast("long"))
-    counts = counts.withColumn("ids", F.col("inner") + 1 + F.col("is_first")).withColumn("seqs", F.col("inner") + 2 + F.col("is_first"))
     probabilities = [i / ranges for i in range(1, ranges)]
     cuts = sorted({int(x) for x in (messages.agg(F.percentile_approx("session_seq", probabilities, 10_000)).first()[0] or [])})
-    placed = _exclusive_sums(counts, ["session_seq", "turn"], ["ids", "seqs"], cuts)
-    root = placed.filter("is_first = 1").select("session_seq", (F.col("before_ids") + 1).alias("root_id"))
-    placed = placed.join(root, "session_seq")
-    base = parsed.join(placed.select("session_seq", "turn", "is_first", "before_ids", "before_seqs", "root_id"), ["session_seq", "turn"])
-    # Offsets of blocks and statements inside the message: exclusive running sums over the arrays.
-    starts = F.transform(kept, lambda n, i: F.aggregate(F.slice(kept, 1, i), F.lit(0), lambda a, m: a + m + 1))
-    base = base.withColumn("starts", starts).withColumn("message_id", F.col("before_ids") + F.col("is_first") + 1)
-    base = base.withColumn("message_seq", F.col("before_seqs") + F.col("is_first") + 2)
-    common = ["session_id", "agent_id", "role", "created_at"]
-    void = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, level: int, node: Column, parent: Column, seq: Column, content: Column, role: Column, kind: Column = void, lang: Column = void, stmt: Column = void) -> DataFrame:
-        return df.select(
-            node.cast("long").alias("node_id"), F.lit(level).cast("tinyint").alias("level"), parent.cast("long").alias("parent_id"), F.col("agent_id"), F.col("session_id"), role.alias("role"),
-            content.alias("content"), kind.alias("block_type"), lang.alias("lang"), stmt.alias("stmt_type"), F.col("created_at"), seq.cast("long").alias("sequence_num"),
-        )
-
-    roots = rows(base.filter("is_first = 1"), SESSION, F.col("root_id"), F.lit(None), F.col("before_seqs") + 1, F.lit(""), void)
-    heads = rows(base, MESSAGE, F.col("message_id"), F.col("root_id"), F.col("message_seq"), F.col("content"), F.col("role"))
-    blocks = base.select(*common, "message_id", "message_seq", F.posexplode(F.arrays_zip("blocks", "starts")).alias("ix", "z"))
-    blocks = blocks.select("*", (F.col("z.starts") + 1).alias("offset"), F.col("z.blocks").alias("b")).drop("z")
-    block_id, block_seq = F.col("message_id") + F.col("offset"), F.col("message_seq") + F.col("offset")
-    block_rows = rows(blocks, BLOCK, block_id, F.col("message_id"), block_seq, F.col("b.content"), F.col("role"), F.col("b.type"), F.col("b.lang"))
-    said = blocks.select(*common, block_id.alias("block_id"), block_seq.alias("block_seq"), F.posexplode(F.filter("b.statements", lambda s: s["content"] != "")).alias("k", "s"))
-    statements = rows(said, STATEMENT, F.col("block_id") + F.col("k") + 1, F.col("block_id"), F.col("block_seq") + F.col("k") + 1, F.col("s.content"), F.col("role"), stmt=F.col("s.type"))
-    nodes = roots.unionByName(heads).unionByName(block_rows).unionByName(statements)
-    return nodes.withColumn("level_name", level_name(F.col("level")))
+    bounds = F.array(*map(F.lit, cuts)).cast("array<long>")
+    kept = F.transform("blocks", lambda b: F.filter(b["statements"], lambda s: s["content"] != ""))
+    parsed = messages.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("session_seq")))).withColumn("blocks", parse_h(F.col("content")))
+    parsed = parsed.withColumn("kept", kept).withColumn("inner", F.aggregate("kept", F.lit(0).cast("long"), lambda n, x: n + F.size(x) + 1))
+    totals = parsed.groupBy("range").agg(F.sum("inner").alias("inner"), F.count("*").alias("n"), F.countDistinct("session_seq").alias("sessions"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    totals = totals.select("range", earlier(F.col("inner") + F.col("n") + F.col("sessions")).alias("ids0"), earlier(F.col("inner") + 2 * F.col("n") + F.col("sessions")).alias("seqs0"))
+    session = Window.partitionBy("range", "session_seq")
+    inside = Window.partitionBy("range").orderBy("session_seq", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
+    rows = parsed.repartition("range").withColumn("is_first", (F.col("turn") == F.min("turn").over(session)).cast("long"))
+    rows = rows.withColumn("ids", running(F.col("inner") + 1 + F.col("is_first"))).withColumn("seqs", running(F.col("inner") + 2 + F.col("is_first")))
+    rows = rows.join(F.broadcast(totals), "range").withColumn("ids", F.col("ids") + F.col("ids0")).withColumn("seqs", F.col("seqs") + F.col("seqs0"))
+    rows = rows.withColumn("root_id", F.min(F.col("ids") + 1).over(session))
+    rows = rows.withColumn("message_id", F.col("ids") + F.col("is_first") + 1).withColumn("message_seq", F.col("seqs") + F.col("is_first") + 2)
+    # How many nodes of the message come before each block.
+    rows = rows.withColumn("starts", F.transform("kept", lambda _, i: F.aggregate(F.slice("kept", 1, i), F.lit(1), lambda n, x: n + F.size(x) + 1)))
+    root = F.struct(F.col("root_id"), F.lit(SESSION), F.lit(None), F.lit(None), F.lit(""), F.lit(None), F.lit(None), F.lit(None), F.col("seqs") + 1).cast(_NODE)
+
+    def block(z: Column, i: Column) -> Column:
+        start = F.get("starts", i)
+        own = _node(start, BLOCK, F.col("message_id"), z["content"], z["type"], z["lang"])
+        return F.concat(F.array(own), F.transform(F.get("kept", i), lambda s, k: _node(start + k + 1, STATEMENT, F.col("message_id") + start, s["content"], stmt=s["type"])))
+
+    head = _node(F.lit(0), MESSAGE, F.col("root_id"), F.col("content"))
+    none = F.array().cast(f"array<{_NODE}>")
+    nodes = F.concat(F.when(F.col("is_first") == 1, F.array(root)).otherwise(none), F.array(head), F.flatten(F.transform("blocks", block)))
+    out = rows.select("agent_id", "session_id", "created_at", F.explode(nodes).alias("n")).select("n.*", "agent_id", "session_id", "created_at")
+    return out.withColumn("level_name", level_name(F.col("level")))
 
 
 def with_ordinals(nodes: DataFrame) -> DataFrame:
