@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, small
 
 SLICES = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,5 +100,6 @@ def mixed_documents(docs: DataFrame, **more) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies. Rows equal in id and text all get the most that one of them has."""
     copies = mix_sources(docs, **more).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("mixed_copies")).filter("mixed_copies > 0")
     copies = copies.select(F.col("doc_id").alias("mixed_id"), F.col("text_hash").alias("mixed_hash"), "mixed_copies")
+    copies = small(materialize(copies, "copies"))
     both = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed_id")) & (F.xxhash64(docs["text"]) == F.col("mixed_hash")))
     return both.withColumn("mixed_copies", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*(docs[c] for c in docs.columns))

@@ -58,21 +58,24 @@ def query_tokens(queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> D
     return queries.select("query_id", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
-def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast df if it has at most that many rows, else leave the join to the optimizer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _hint(asked: DataFrame, rows: int = 100_000):
+    """broadcast, if the queries' tokens are that few; what has a row per token or query is then no larger. Else nothing, and the
+    optimizer joins as sizes are."""
+    return F.broadcast if asked.limit(rows + 1).count() <= rows else lambda df: df
 
 
 def search_and(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
     """query_id, node_id: documents with every token of the query."""
     asked = query_tokens(queries, tokenizer)
+    hint = _hint(asked)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = postings.join(_small(asked), "token").groupBy("query_id", "node_id").agg(F.count("*").alias("found"))
-    return hits.join(_small(need), "query_id").filter("found = need").select("query_id", "node_id")
+    hits = postings.join(hint(asked), "token").groupBy("query_id", "node_id").agg(F.count("*").alias("found"))
+    return hits.join(hint(need), "query_id").filter("found = need").select("query_id", "node_id")
 
 
 def search_or(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
-    return postings.join(_small(query_tokens(queries, tokenizer)), "token").select("query_id", "node_id").distinct()
+    asked = query_tokens(queries, tokenizer)
+    return postings.join(_hint(asked)(asked), "token").select("query_id", "node_id").distinct()
 
 
 def contains_any(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
@@ -92,15 +95,16 @@ def bm25(tf: Column, length: Column, average: Column, idf_: Column, k1: float =
 def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h, profile: Profile = H, all_tokens: bool = False) -> DataFrame:
     """query_id, node_id, score: sums over query tokens, a repeated one counting repeatedly. all_tokens: only documents with all of them."""
     asked = query_tokens(queries, tokenizer)
-    matched = postings.join(_small(asked), "token")
+    hint = _hint(asked)
+    matched = postings.join(hint(asked), "token")
     # A token's frequency counts all its documents, whatever is filtered later.
-    frequency = postings.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    scored = matched.join(_small(frequency), "token").join(stats, "node_id").crossJoin(F.broadcast(corpus_stats(stats)))
+    frequency = postings.join(hint(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    scored = matched.join(hint(frequency), "token").join(stats, "node_id").crossJoin(F.broadcast(corpus_stats(stats)))
     part = F.col("times") * bm25(F.col("tf"), F.col("doc_len"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df")), profile.k1, profile.b)
     out = scored.groupBy("query_id", "node_id").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
     if all_tokens:
         need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-        out = out.join(_small(need), "query_id").filter("found = need")
+        out = out.join(hint(need), "query_id").filter("found = need")
     return out.select("query_id", "node_id", "score")
 
 
@@ -115,5 +119,5 @@ def bm25_top(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int,
     scores = bm25_scores(postings, stats, queries, **more)
     if normalise:
         best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
-        scores = scores.join(_small(best), "query_id").select("query_id", "node_id", (F.col("score") / F.col("best")).alias("score"))
+        scores = scores.join(_hint(queries)(best), "query_id").select("query_id", "node_id", (F.col("score") / F.col("best")).alias("score"))
     return top(scores, k)

@@ -31,7 +31,8 @@ def vecs(spark, sf):
 
 
 def postings_of(spark, sf):
-    return fulltext.build_postings(docs(spark, sf))
+    """Kept, as an index is: a query reads it for matches, frequencies and lengths."""
+    return fulltext.build_postings(docs(spark, sf)).persist()
 
 
 def asked(spark, *queries):
