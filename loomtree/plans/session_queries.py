@@ -79,7 +79,13 @@ def identifiers(spark, sf):
     return _code(spark).select("id", F.explode(S.identifiers_h(F.col("content"))).alias("name"))
 
 
-@query()
+IDENTIFIERS_E = (
+    (1, "We", "TYPE"), (1, "handleTokenRefresh", "FUNCTION"), (1, "See", "TYPE"), (2, "UserStore", "TYPE"), (2, "MAX_RETRY", "CONSTANT"),
+    (2, "parse_token", "FUNCTION"), (3, "Fix", "TYPE"), (3, "MyClass", "TYPE"), (3, "or", "FUNCTION"), (4, "HTTP", "TYPE"),
+)
+
+
+@query(sql.values(IDENTIFIERS_E, "id, name, kind"))
 def identifiers_e(spark, sf):
     return _code(spark).select("id", F.explode(S.identifiers_e(F.col("content"))).alias("i")).select("id", "i.name", "i.kind")
 

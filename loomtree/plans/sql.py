@@ -69,3 +69,9 @@ def bm25(query: str, name: str = "scores", all_tokens: bool = False) -> str:
 df AS (SELECT token, count(*) AS df FROM postings WHERE token IN (SELECT token FROM q) GROUP BY ALL),
 {name} AS (SELECT p.node_id, sum(q.times * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) AS score
   FROM postings p JOIN q USING (token) JOIN df USING (token) JOIN doc_stats USING (node_id), corpus GROUP BY p.node_id {having})"""
+
+
+def values(rows: tuple, names: str) -> str:
+    """SELECT of literal rows; None is NULL."""
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"

@@ -103,13 +103,57 @@ FENCED = (
 )
 
 
-@query()
+_CODE, _LIST, _DR = "x = 1\n\ny = 2  \n", "- a\n- b\n  c", "Dr. Smith came. He left! Really?"
+_PARSED = "id, block_ix, block_type, lang, block, stmt_ix, stmt_type, statement"
+PARSED_H = (
+    (0, 0, "paragraph", "", "Intro text. More here.", 0, "sentence", "Intro text."),
+    (0, 0, "paragraph", "", "Intro text. More here.", 1, "sentence", "More here."),
+    (0, 1, "code", "python", _CODE, 0, "code_line", "x = 1"),
+    (0, 1, "code", "python", _CODE, 1, "code_line", ""),
+    (0, 1, "code", "python", _CODE, 2, "code_line", "y = 2"),
+    (0, 1, "code", "python", _CODE, 3, "code_line", ""),
+    (0, 2, "paragraph", "", "After. The end", 0, "sentence", "After."),
+    (0, 2, "paragraph", "", "After. The end", 1, "sentence", "The end"),
+    (1, 0, "code", "", "no lang\n", 0, "code_line", "no lang"),
+    (1, 0, "code", "", "no lang\n", 1, "code_line", ""),
+    (2, 0, "paragraph", "", _DR, 0, "sentence", "Dr. Smith came."),
+    (2, 0, "paragraph", "", _DR, 1, "sentence", "He left!"),
+    (2, 0, "paragraph", "", _DR, 2, "sentence", "Really?"),
+    (2, 1, "list", "", _LIST, 0, "list_item", "- a"),
+    (2, 1, "list", "", _LIST, 1, "list_item", "- b\n  c"),
+    (3, None, None, None, None, None, None, None),
+    (4, 0, "paragraph", "", FENCED[4], 0, "sentence", FENCED[4]),
+    (5, 0, "paragraph", "", FENCED[5], 0, "sentence", "~~~sh\nls\n~~~\nDone."),
+    (5, 0, "paragraph", "", FENCED[5], 1, "sentence", "Next"),
+)
+PARSED_E = (
+    (0, 0, "paragraph", "", "Intro text. More here.", 0, "sentence", "Intro text."),
+    (0, 0, "paragraph", "", "Intro text. More here.", 1, "sentence", "More here."),
+    (0, 1, "code", "python", _CODE[:-1], 0, "code_line", "x = 1"),
+    (0, 1, "code", "python", _CODE[:-1], 1, "code_line", "y = 2"),
+    (0, 2, "paragraph", "", "After. The end", 0, "sentence", "After."),
+    (0, 2, "paragraph", "", "After. The end", 1, "sentence", "The end"),
+    (1, 0, "code", "", "no lang", 0, "code_line", "no lang"),
+    (2, 0, "paragraph", "", _DR, 0, "sentence", "Dr. Smith came."),
+    (2, 0, "paragraph", "", _DR, 1, "sentence", "He left!"),
+    (2, 0, "paragraph", "", _DR, 2, "sentence", "Really?"),
+    (2, 1, "paragraph", "", _LIST, 0, "sentence", _LIST),
+    (3, None, None, None, None, None, None, None),
+    (4, 0, "paragraph", "", "unclosed", 0, "sentence", "unclosed"),
+    (4, 1, "code", "go", "func x() {}", 0, "code_line", "func x() {}"),
+    (5, 0, "code", "sh", "ls", 0, "code_line", "ls"),
+    (5, 1, "paragraph", "", "Done. Next", 0, "sentence", "Done."),
+    (5, 1, "paragraph", "", "Done. Next", 1, "sentence", "Next"),
+)
+
+
+@query(sql.values(PARSED_H, _PARSED))
 def parse_full_message(spark, sf):
     rows = spark.createDataFrame(list(enumerate(FENCED)), "id int, content string")
     return parsing.exploded(rows).select("id", "block_ix", "block_type", "lang", "block", "stmt_ix", "stmt_type", "statement")
 
 
-@query()
+@query(sql.values(PARSED_E, _PARSED))
 def parse_profile_e(spark, sf):
     rows = spark.createDataFrame(list(enumerate(FENCED)), "id int, content string")
     return parsing.exploded(rows, profile="E").select("id", "block_ix", "block_type", "lang", "block", "stmt_ix", "stmt_type", "statement")
