@@ -5,8 +5,8 @@ them in one group. The passes:
 
 1. The digit of the first pass is chosen by content: of the grams (`gram` bytes) inside a suffix's first `depth` bytes the one with
    the smallest hash, leftmost in ties. Equal strings choose equal grams at equal places, so suffixes that choose different grams part
-   here. Neighbouring suffixes mostly choose the same gram and travel as one run: about depth/2 suffixes a row. Spark deals the runs by
-   gram; a gram chosen by one run only ends there.
+   here. Neighbouring suffixes mostly choose the same gram and travel as one run: about depth/2 suffixes a row, and more in periodic
+   texts, whose grams are equal from period to period. Spark deals the runs by gram; a gram chosen at one place only ends there.
 2. Runs that are left get the bytes of their suffixes from the text, are dealt by gram again, and each group is sorted further on
    digits of depth/2 bytes, suffix by suffix. A suffix alone in its group drops out after each pass.
 3. What still has company after the last digit is a repeated window. Windows are merged to spans per document.
@@ -34,7 +34,8 @@ _PLACE = 22
 
 
 def _runs(data: np.ndarray, at: np.ndarray, depth: int, gram: int):
-    """Of rows of bytes: row, first suffix, number of suffixes and gram hash of each run of suffixes that choose one gram."""
+    """Of rows of bytes: row, first suffix, number of suffixes, gram hash and number of places chosen of each run of suffixes whose
+    chosen grams are equal. Mostly that is one place; in a periodic text a run goes on from period to period."""
     width = depth - gram + 1
     lengths = np.diff(at)
     inside = np.repeat(np.maximum(lengths - depth + 1, 0), 1)
@@ -53,10 +54,13 @@ def _runs(data: np.ndarray, at: np.ndarray, depth: int, gram: int):
     ahead = np.minimum.accumulate(square, axis=1).ravel()
     behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
     chosen = (np.minimum(behind[starts], ahead[starts + width - 1]) & low).astype(np.int64)
+    moved = np.ones(len(rows), bool)
+    moved[1:] = (chosen[1:] != chosen[:-1]) | (rows[1:] != rows[:-1])
+    picked = grams[chosen]
     new = np.ones(len(rows), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (rows[1:] != rows[:-1])
+    new[1:] = (picked[1:] != picked[:-1]) | (rows[1:] != rows[:-1])
     i = np.flatnonzero(new)
-    return rows[i], starts[i] - at[:-1][rows[i]], np.diff(np.append(i, len(rows))), grams[chosen[i]].view(np.int64)
+    return rows[i], starts[i] - at[:-1][rows[i]], np.diff(np.append(i, len(rows))), picked[i].view(np.int64), np.add.reduceat(moved.astype(np.int64), i)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, depth: int):
@@ -77,9 +81,9 @@ def _emit_runs(depth: int, gram: int):
             for lo, skipped, d, o in _pieces(data, at, depth):
                 if (found := _runs(d, o, depth, gram)) is None:
                     continue
-                rows, starts, counts, keys = found
+                rows, starts, counts, keys, times = found
                 take = pa.array(rows + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(starts + skipped), pa.array(counts)], ["key", "doc_id", "text_hash", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(starts + skipped), pa.array(counts), pa.array(times)], ["key", "doc_id", "text_hash", "start", "n", "times"])
 
     return run
 
@@ -240,9 +244,9 @@ def repeated_spans(docs: DataFrame, depth: int = 400, gram: int = GRAM, hot: int
     gram = max(1, min(gram, depth // 2))
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text", *carry).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"), *carry)
-    runs = texts.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= depth).mapInArrow(lean(_emit_runs(depth, gram)), f"key long, doc_id {kind}, text_hash long, start long, n long")
+    runs = texts.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= depth).mapInArrow(lean(_emit_runs(depth, gram)), f"key long, doc_id {kind}, text_hash long, start long, n long, times long")
     runs = materialize(runs, "runs")
-    members = runs.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    members = runs.groupBy("key").agg(F.sum("times").alias("members")).filter("members > 1")
     shared = runs.join(members, "key")
     per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "n", "members")).alias("runs"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
