@@ -61,9 +61,17 @@ def is_blank(c: Column) -> Column:
 
 def index_tokens_h(c: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores of two bytes or more that are no stop words."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))
     stop = words(*INDEX_STOP_WORDS)
-    return F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(raw_index_tokens_h(c), lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
+
+
+def raw_index_tokens_h(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))
+
+
+def is_index_token_h(token: Column) -> Column:
+    """The same choice on exploded tokens, where a set lookup inside generated code makes it."""
+    return (F.octet_length(token) >= 2) & ~token.isin(INDEX_STOP_WORDS)
 
 
 def index_tokens_e(c: Column, most: int | None = None) -> Column:

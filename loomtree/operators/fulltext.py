@@ -12,15 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens_h
+from ..functions.text import index_tokens_h, is_index_token_h, raw_index_tokens_h
 from ..profile import H, Profile
 
 Tokenizer = Callable[[Column], Column]
 
 
 def build_postings(docs: DataFrame, tokenizer: Tokenizer = index_tokens_h, key: str = "node_id", content: str = "content") -> DataFrame:
-    """token, node_id, tf, first_pos. Documents without tokens have no rows."""
-    tokens = docs.select(F.col(key).alias("node_id"), F.posexplode(tokenizer(F.col(content))).alias("pos", "token"))
+    """token, node_id, tf, first_pos (among all words, stop words too). Documents without tokens have no rows."""
+    plain = tokenizer is index_tokens_h
+    found = (raw_index_tokens_h if plain else tokenizer)(F.col(content))
+    tokens = docs.select(F.col(key).alias("node_id"), F.posexplode(found).alias("pos", "token"))
+    if plain:
+        tokens = tokens.filter(is_index_token_h(F.col("token")))
     return tokens.groupBy("token", "node_id").agg(F.count("*").cast("int").alias("tf"), F.min("pos").alias("first_pos"))
 
 

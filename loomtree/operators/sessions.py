@@ -44,7 +44,9 @@ def keyword_list_h(c: Column) -> Column:
 
 def top_keywords(docs: DataFrame, key: str, content: str, k: int = 20) -> DataFrame:
     """key, word, n, rank: the k most frequent keywords of each text, ties by word."""
-    counts = docs.select(key, F.explode(keyword_list_h(F.col(content))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    said = docs.select(key, F.explode(keyword_words_h(F.col(content))).alias("raw")).withColumn("word", F.lower("raw"))
+    said = said.filter((F.octet_length("raw") >= 3) & ~F.col("word").isin(KEYWORD_STOP_WORDS_H))
+    counts = said.groupBy(key, "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -63,6 +65,13 @@ def keyword_words_e(c: Column) -> Column:
     return F.filter(word_tokens_e(c), lambda w: (F.octet_length(w) >= 2) & ~w.rlike("^[0-9]") & ~F.array_contains(stop, w))
 
 
+def _said_e(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """key, word for every keyword_words_e of a text."""
+    found = F.regexp_extract_all(F.lower(F.col(content)), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    rows = docs.select(key, F.explode(found).alias("word"))
+    return rows.filter(F.octet_length("word").between(2, 63) & ~F.substring("word", 1, 1).between("0", "9") & ~F.col("word").isin(KEYWORD_STOP_WORDS_E))
+
+
 def document_frequencies(docs: DataFrame, content: str) -> DataFrame:
     """word, df: in how many texts a word occurs."""
     return docs.select(F.explode(F.array_distinct(keyword_words_e(F.col(content)))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -73,8 +82,7 @@ def tfidf_keywords(docs: DataFrame, key: str, content: str, k: int = 32, frequen
 
     The boost is 1 + 0.1 per letter over three, at least 1 (for two letters too) and at most 2.
     """
-    said = docs.select(key, F.explode(keyword_words_e(F.col(content))).alias("word"))
-    counts = said.groupBy(key, "word").agg(F.count("*").alias("n"))
+    counts = _said_e(docs, key, content).groupBy(key, "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
     rows = counts.join(totals, key)
     idf = F.lit(1.0)

@@ -116,15 +116,15 @@ def kw_freq_top20(spark, sf):
 
 _TFIDF = f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: strlen(w) BETWEEN 2 AND 63 AND NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({sql.STOP_E}))) AS word FROM documents),
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM c GROUP BY ALL),
-s AS (SELECT doc_id, word, round(n::DOUBLE / total * ln((SELECT count(*) FROM documents)::DOUBLE / df) * least(greatest(1 + 0.1 * (strlen(word)::INT - 3), 1), 2), 9) AS score FROM c JOIN t USING (doc_id) JOIN df USING (word))"""
+s AS (SELECT doc_id, word, (n::DOUBLE / total * ln((SELECT count(*) FROM documents)::DOUBLE / df) * least(greatest(1 + 0.1 * (strlen(word)::INT - 3), 1), 2)) AS score FROM c JOIN t USING (doc_id) JOIN df USING (word))"""
 
 
-@query(_TFIDF + " SELECT doc_id, word, round(score, 6) AS score FROM s")
+@query(_TFIDF + " SELECT doc_id, word, round(score * 1e9)::BIGINT AS score_e9 FROM s")
 def kw_tfidf_e(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     rows = S.tfidf_keywords(docs, "doc_id", "text", 1 << 30, S.document_frequencies(docs, "text"), n)
-    return rows.select("doc_id", "word", F.round(F.round("score", 9), 6).alias("score"))
+    return rows.select("doc_id", "word", F.round(F.col("score") * 1e9).cast("long").alias("score_e9"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: strlen(w) BETWEEN 2 AND 63 AND NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({sql.STOP_E}))) AS word FROM documents)
