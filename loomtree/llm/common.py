@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that numpy handles at a time; its temporary arrays take about 150 times as many.
 BLOCK = 1 << 18
+ROWS_A_FILE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
+
+    rows: how many rows it has at most, where that is known and rows are small; it then gets a file for each `ROWS_A_FILE` of them.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

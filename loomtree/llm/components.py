@@ -21,16 +21,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = nodes.select("node", F.col("node").alias("component"))
     edges = materialize(edges.filter("a <> b").distinct(), "edges")
     label = materialize(label, "labels")
-    round_ = 0
-    while not edges.isEmpty():
+    round_, n, n_nodes = 0, edges.count(), label.count()
+    while n:
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
         joined = both.groupBy("a").agg(F.least(order("a"), F.min(order("b"))).getField("id").alias("to"))
-        joined = materialize(joined.select(F.col("a").alias("node"), "to"), "joined")
+        joined = materialize(joined.select(F.col("a").alias("node"), "to"), "joined", min(2 * n, n_nodes))
         left = joined.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = joined.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        edges = materialize(edges.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges")
+        edges = materialize(edges.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges", n)
         moved = joined.select(F.col("node").alias("component"), "to")
-        label = materialize(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        round_ += 1
+        label = materialize(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels", n_nodes)
+        round_, n = round_ + 1, edges.count()
     return label
