@@ -1,11 +1,16 @@
 """Near duplicates by order MinHash, verified by banded alignment.
 
-A document is its sequence of words; its k-mers are runs of five words, each labelled with its occurrence number, so that a repeated
+A document is its sequence of words; its k-mers are runs of two words, each labelled with its occurrence number, so that a repeated
 k-mer counts as often as it occurs. A sketch draws the `length` labelled k-mers with the smallest hashes and keeps them in text order;
 documents that agree in one of `sketches` sketches are candidates. Two documents are near duplicates if their edit similarity, one less
 the words to insert, delete or replace over the words of the longer, is 0.8 or more; a banded alignment of the whole word sequences
 decides, on 32-bit word hashes.
 
+An edit changes two runs of two words at most, so near duplicates have at least 0.6 of these runs in common however the edits lie, and
+agree in each sketch with a chance of about 0.18 at least (0.15 for texts of 15 words): with random hashes, 40 sketches miss under two
+pairs in a thousand at worst. Pairs of up to `SHORT` words are found without chance: both have a common subsequence of all words but the
+edits, and each text gives all its own as buckets.
+
 How groups are kept small: documents with equal word sequences are one representative from the start. In each bucket (documents with
 one sketch) all are aligned with one of them, the leader. Where all are near, the bucket is done: a large group of near copies costs
 one alignment per member and bucket (up to `stars`, with another leader each time); documents that links have joined already, by whatever way, are not compared again. Where some
@@ -14,14 +19,15 @@ a leader of its own. Near copies agree in many sketches and stay together in mos
 stay in proportion to rows, and nothing is capped. What is still crowded after `levels` divisions is compared pair by pair. Classes are
 the connected components of the links.
 
-Defined results: a null text is an empty one; all texts without words form one class; texts of fewer than five words have their
-whole sequence as the only k-mer; rows with null or repeated ids keep their rows; class_id is the smallest id in the class (null if
-all are null); other columns are ignored.
+Defined results: a null text is an empty one; all texts without words form one class; texts of one word have it as
+their only k-mer; rows with null or repeated ids keep their rows; class_id is the smallest id in the class (null if all are null);
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,10 @@ from pyspark.sql import functions as F
 from .common import binary, blocks, lean, materialize, mix, only, prefix_hashes, small, span_hashes, words
 from .components import components
 
-K, SIMILAR = 5, 0.8
+K, SIMILAR = 2, 0.8
+
+#: Pairs of texts of up to so many words are found by common subsequences.
+SHORT = 14
 
 #: Cells of one row over all pairs, and words of padded sequences, that are aligned at a time.
 CELLS, PADDED = 16384, 1 << 20
@@ -99,13 +108,32 @@ def order_sketches(kmers: np.ndarray, at: np.ndarray, sketches: int, length: int
     return out
 
 
+def subsequences(h: np.ndarray, first: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the subsequences that a pair of up to SHORT words has in common if it is near: for the words m of the longer, those
+    of m less the edits allowed. Hashes contain m, so texts meet only where the longer has m words."""
+    n = np.diff(first)
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for m in range(1, SHORT + 1):
+        size = m - int((1 - similar) * m + 1e-9)
+        for words_ in range(max(size, 1), m + 1 if size < m else 0):
+            hit = np.flatnonzero(n == words_)
+            if len(hit):
+                taken = np.array(list(combinations(range(words_), size)), np.int64).reshape(-1, size)
+                x = np.full((len(hit), len(taken)), m + 1000, np.uint64)
+                for j in range(size):
+                    x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[first[hit][:, None] + taken[:, j]])
+                rows.append(np.repeat(hit, len(taken)))
+                found.append(x.ravel())
+    return np.concatenate(rows), np.concatenate(found)
+
+
 def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = words(data, at)
     return span_hashes(prefix_hashes(data), starts, ends), first
 
 
-def _emit_sketches(sketches: int, length: int, k: int):
-    """Two 64-bit digests of the word sequence, the number of words, and the sketches."""
+def _emit_sketches(sketches: int, length: int, k: int, similar: float):
+    """Two 64-bit digests of the word sequence, the number of words, and the sketches with the subsequences of short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +151,11 @@ def _emit_sketches(sketches: int, length: int, k: int):
                 found = np.zeros((hi - lo, sketches), np.uint64)
                 if len(full):
                     found[full] = order_sketches(kmers, np.append(from_[full], from_[-1]), sketches, length)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * sketches), pa.array(found.ravel().view(np.int64)))
+                short, hashes = subsequences(h, first, similar)
+                row = np.concatenate([np.repeat(np.arange(hi - lo), sketches), short])
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([found.ravel(), hashes])[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("row_key").slice(lo, hi - lo), *map(pa.array, digest), pa.array(n.astype(np.int64)), lists], ["doc_id", "row_key", "d1", "d2", "n_words", "sketches"])
 
     return run
@@ -243,21 +275,21 @@ def _emit_near(similar: float):
     return run
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 24, length: int = 2, stars: int = 2, levels: int = 6) -> DataFrame:
+def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 40, length: int = 2, stars: int = 2, levels: int = 6) -> DataFrame:
     """doc_id, row_key (hash of id and text), n_words, class_id and class_size for every row of docs, and whether it is the one to keep.
 
     keep marks one row of each class, or more if rows are equal in id and text.
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    sketched = materialize(texts.mapInArrow(lean(_emit_sketches(sketches, length, k)), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>"), "sketches")
+    sketched = materialize(texts.mapInArrow(lean(_emit_sketches(sketches, length, k, similar)), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>"), "sketches")
     # rep, 64 bits of the word sequence, names all documents with that sequence; row is one of them.
     sequence = F.xxhash64("d1", "d2").alias("rep")
     unique = materialize(sketched.groupBy(sequence).agg(F.min("n_words").alias("n_words"), F.min("row_key").alias("row"), F.first("sketches").alias("sketches")), "unique")
     # What one document has alone in a bucket needs no further look.
-    buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.posexplode("sketches").alias("i", "sketch"))
-    crowded = buckets.groupBy("i", "sketch").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = materialize(buckets.join(crowded, ["i", "sketch"]).select(F.xxhash64("i", "sketch").alias("bucket"), "rep", "row"), "buckets")
+    buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.explode(F.array_distinct("sketches")).alias("sketch"))
+    crowded = buckets.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = materialize(buckets.join(crowded, "sketch").select(F.col("sketch").alias("bucket"), "rep", "row"), "buckets")
     needed = materialize(rows.select("rep", F.col("row").alias("row_key")).distinct(), "needed")
     own = materialize(unique.select("rep", "n_words", "sketches").join(needed.select("rep"), "rep", "left_semi"), "own")
     rows = rows.select("bucket", "rep")

@@ -176,6 +176,31 @@ def test_many_strangers_with_one_passage(spark):
     assert got[500] == got[7] and len(set(got.values())) == 150
 
 
+def scattered(text, n, seed):
+    """n words at different places replaced by new ones."""
+    w = text.split()
+    for i, at in enumerate(random.Random(seed).sample(range(len(w)), n)):
+        w[at] = f"new{seed}-{i}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("n", "edits"), [(6, 1), (12, 1), (12, 2), (60, 12), (60, 9), (300, 60), (300, 45)])
+def test_scattered_edits(spark, n, edits):
+    """At similarities of 0.80 to 0.92, with edits all over the text, no pair of 100 is missed."""
+    rows = [(i, prose(n, 5000 + i)) for i in range(100)]
+    rows += [(1000 + i, scattered(t, edits, i)) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    assert [i for i in range(100) if got[1000 + i] != i] == [] and len(set(got.values())) == 100
+
+
+def test_evenly_spaced_edits(spark):
+    """Every fifth word differs, so no run of five words is left."""
+    rows = [(i, prose(100, 7000 + i)) for i in range(50)]
+    rows += [(1000 + i, " ".join(f"new{i}-{j}" if j % 5 == 4 else w for j, w in enumerate(t.split()))) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    assert all(got[1000 + i] == i for i in range(50))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200), (None, 3)] + [(300, 300 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
