@@ -12,12 +12,12 @@ pairs in a thousand at worst. Pairs of up to `SHORT` words are found without cha
 edits, and each text gives all its own as buckets.
 
 How groups are kept small: documents with equal word sequences are one representative from the start. In each bucket (documents with
-one sketch) all are aligned with one of them, the leader. Where all are near, the bucket is done: a large group of near copies costs
-one alignment per member and bucket (up to `stars`, with another leader each time); documents that links have joined already, by whatever way, are not compared again. Where some
-are apart (documents that share a passage and no more), the bucket is divided by another sketch of the documents, and each part gets
-a leader of its own. Near copies agree in many sketches and stay together in most of their buckets, strangers part soon; so candidates
-stay in proportion to rows, and nothing is capped. What is still crowded after `levels` divisions is compared pair by pair. Classes are
-the connected components of the links.
+one sketch) all are aligned with one of them, the leader, `stars` times with another leader: a large group of near copies costs one
+alignment per member and bucket. Documents that links have joined already, by whatever way, are not compared again. Where classes are
+still apart (documents that share a passage and no more), small buckets are compared pair by pair. In larger ones a pair is compared
+if it shares one of its rarest words: of two documents with 0.8 of their words in common, each has one of these among its rarest
+0.2 n + 1, whatever the order of words (prefix filtering). So nothing is dropped or capped. Classes are the connected components of the
+links.
 
 Defined results: a null text is an empty one; all texts without words form one class; texts of one word have it as
 their only k-mer; rows with null or repeated ids keep their rows; class_id is the smallest id in the class (null if all are null);
@@ -39,8 +39,11 @@ from .components import components
 
 K, SIMILAR = 2, 0.8
 
-#: Pairs of texts of up to so many words are found by common subsequences.
-SHORT = 14
+#: Pairs of texts of up to so many words are found by common subsequences. Buckets of up to so many documents are compared pair by pair.
+SHORT, WHOLE = 14, 16
+
+#: Documents in which words are counted to order them.
+SAMPLE = 2000
 
 #: Cells of one row over all pairs, and words of padded sequences, that are aligned at a time.
 CELLS, PADDED = 16384, 1 << 20
@@ -171,6 +174,32 @@ def _emit_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "seq"])
 
 
+def _labelled_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, and row and hash of each word, labelled with its occurrence number, of sequences."""
+    data, at = binary(column)
+    for lo, hi, d, o in blocks(data, at):
+        rows = np.repeat(np.arange(hi - lo), np.diff(o) // 4)
+        yield lo, rows, _labelled(np.frombuffer(d.tobytes(), "<u4").astype(np.uint64), rows)
+
+
+def _emit_rarest(known: np.ndarray, often: np.ndarray, similar: float):
+    """Of the n words of each sequence the rarest n - 0.8 n + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, rows, label in _labelled_words(batch.column("seq")):
+                at = np.minimum(np.searchsorted(known, label), max(len(known) - 1, 0))
+                count = np.where(known[at] == label, often[at], 0) if len(known) else np.zeros(len(label), np.int64)
+                order = np.lexsort((label, count, rows))
+                n = np.bincount(rows)
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                most = n - np.ceil(n * similar - 1e-9).astype(np.int64) + 1
+                hit = order[place < np.repeat(most, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), pa.array(label[hit].view(np.int64))], ["rep", "word"])
+
+    return run
+
+
 def _bag_distance(x: np.ndarray, y: np.ndarray) -> int:
     """A lower bound of the edit distance: of what the longer has, what the other has not."""
     both = np.concatenate([x, y])
@@ -275,7 +304,33 @@ def _emit_near(similar: float):
     return run
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 40, length: int = 2, stars: int = 2, levels: int = 6) -> DataFrame:
+def _apart(rows: DataFrame, *keys: str) -> DataFrame:
+    """Pairs (leader, rep) of rows with equal keys, of different classes, whose lengths fit. The class with most rows of a key isn't joined with itself."""
+    most = rows.groupBy(*keys, "class").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.max_by("class", F.struct("k", "class")).alias("usual"), F.count("*").alias("classes"))
+    rows = rows.join(most.filter("classes > 1"), [*keys])
+    few = rows.filter("class <> usual").select(*keys, F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
+    rest = rows.select(*keys, "rep", "usual", F.col("class").alias("d"), F.col("n_words").alias("n"))
+    return few.join(rest, [*keys]).filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("usual")) | (F.col("leader") < F.col("rep")))).select("leader", "rep", "m", "n")
+
+
+def _rarest(rows: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
+    """rows by key, one for the bucket and each of its document's rarest words that others have there too: near pairs share one at least.
+
+    Any order of words will do for that, as long as it is one for all; here they are counted in about `SAMPLE` documents.
+    """
+    own = materialize(sequences.join(rows.select("rep").distinct(), "rep", "left_semi"), "large")
+    part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1 + own.count() // SAMPLE)) == 0).select("seq").toArrow()["seq"].combine_chunks()
+    found = [label for _, _, label in _labelled_words(part)]
+    known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+    known, often = known[often > 1], often[often > 1]
+    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, word long"), "rarest")
+    shared = rare.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
+    keyed = rows.join(materialize(rare.join(small(shared), "word"), "shared"), "rep").select(F.xxhash64("bucket", "word").alias("key"), "rep", "class", "n_words")
+    mixed = keyed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("key")
+    return keyed.join(small(materialize(mixed, "mixed")), "key")
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 40, length: int = 2, stars: int = 2) -> DataFrame:
     """doc_id, row_key (hash of id and text), n_words, class_id and class_size for every row of docs, and whether it is the one to keep.
 
     keep marks one row of each class, or more if rows are equal in id and text.
@@ -287,34 +342,38 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
     sequence = F.xxhash64("d1", "d2").alias("rep")
     unique = materialize(sketched.groupBy(sequence).agg(F.min("n_words").alias("n_words"), F.min("row_key").alias("row"), F.first("sketches").alias("sketches")), "unique")
     # What one document has alone in a bucket needs no further look.
-    buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.explode(F.array_distinct("sketches")).alias("sketch"))
-    crowded = buckets.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = materialize(buckets.join(crowded, "sketch").select(F.col("sketch").alias("bucket"), "rep", "row"), "buckets")
-    needed = materialize(rows.select("rep", F.col("row").alias("row_key")).distinct(), "needed")
-    own = materialize(unique.select("rep", "n_words", "sketches").join(needed.select("rep"), "rep", "left_semi"), "own")
-    rows = rows.select("bucket", "rep")
-    sequences = texts.select("row_key", "text").join(small(needed), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
+    buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = materialize(buckets.join(crowded, "bucket").select("bucket", "rep", "row", "n_words"), "buckets")
+    needed = materialize(rows.select("rep", F.col("row").alias("row_key"), "n_words").distinct(), "needed")
+    sequences = texts.select("row_key", "text").join(small(needed.drop("n_words")), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
     sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
-    label = own.select("rep", F.col("rep").alias("class"), "n_words")
+    label = needed.select("rep", F.col("rep").alias("class"), "n_words")
+    # Of buckets with the same documents one is enough.
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", F.lit("a"))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("b"))).alias("y"))
+    several = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = materialize(rows.join(several, "bucket", "left_semi").select("bucket", "rep"), "several")
     done = None
     # Lengths alone rule a pair out.
     fits = F.least("m", "n") >= F.greatest("m", "n") * similar - 1e-9
-    for level in range(levels + 1):
+    for level in range(stars + 1):
         rows = rows.join(label, "rep")
-        mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("c"), F.max("class").alias("d"), F.min_by(F.struct("rep", "class", "n_words"), F.xxhash64("rep", F.lit(level))).alias("leader"))
-        mixed = mixed.filter("c <> d").select("bucket", "n", "leader")
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("c"), F.max("class").alias("d"), F.min_by(F.struct("rep", "class", "n_words"), F.xxhash64("rep", F.lit(level))).alias("leader"))
+        # A bucket of two has been compared by the first leader.
+        mixed = mixed.filter((F.col("c") != F.col("d")) & (F.col("size") > (2 if level else 1))).select("bucket", "size", "leader")
         rows = materialize(rows.join(mixed, "bucket"), "crowded")
         if rows.isEmpty():
             break
-        if level < levels:
+        if level < stars:
             led = rows.select(F.col("leader.rep").alias("leader"), F.col("leader.class").alias("c"), F.col("leader.n_words").alias("m"), "rep", F.col("class").alias("d"), F.col("n_words").alias("n"))
-            led = led.filter((F.col("c") != F.col("d")) & fits)
+            led = led.filter(F.col("c") != F.col("d")).select("leader", "rep", "m", "n")
         else:
-            most = rows.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("usual"))
-            few = rows.join(most, "bucket").filter("class <> usual").select("bucket", F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
-            rest = rows.select(F.col("bucket").alias("other"), "rep", F.col("class").alias("d"), F.col("n_words").alias("n"))
-            led = few.join(rest, (F.col("bucket") == F.col("other")) & (F.col("c") != F.col("d")) & fits)
-        led = led.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
+            rows = rows.select("bucket", "rep", "class", "n_words", "size")
+            led = _apart(rows.filter(F.col("size") <= WHOLE), "bucket")
+            large = rows.filter(F.col("size") > WHOLE)
+            if not large.isEmpty():
+                led = led.unionByName(_apart(materialize(_rarest(large, sequences, similar), "rare"), "key"))
+        led = led.filter(fits).select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
         asked = materialize(led if done is None else led.join(done, ["leader", "rep"], "left_anti"), "asked")
         done = asked if done is None else done.unionByName(asked)
         a = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"))
@@ -325,22 +384,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
             d = label.select("rep", F.col("class").alias("b"))
             merged = components(near.join(c, "leader").join(d, "rep").select("a", "b")).withColumnRenamed("node", "class")
             label = materialize(label.join(merged, "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words"), "label")
-        if level == levels:
-            break
-        # A bucket of two has been compared. Of the others those that still hold several classes are divided.
-        open_rows = rows.filter("n > 2").select("bucket", "rep").join(label, "rep")
-        apart = open_rows.groupBy("bucket").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d")
-        open_rows = open_rows.join(apart.select("bucket"), "bucket", "left_semi").select("bucket", "rep").join(own, "rep")
-        if level < stars - 1:
-            rows = open_rows.select("bucket", "rep")
-            continue
-        way = (F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(sketches)) + 1).cast("int")
-        parts = open_rows.select(F.xxhash64("bucket", way, F.element_at("sketches", way)).alias("bucket"), "rep")
-        parts = materialize(parts, "parts")
-        # Of parts with the same documents one is enough.
-        several = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", F.lit("a"))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("b"))).alias("y")).filter("n > 1")
-        several = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-        rows = parts.join(several, "bucket", "left_semi")
+        rows = rows.select("bucket", "rep")
     label = label.select("rep", F.col("class").alias("component"))
     base = unique.select("rep")
     base = base.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))

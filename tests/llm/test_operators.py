@@ -201,6 +201,22 @@ def test_evenly_spaced_edits(spark):
     assert all(got[1000 + i] == i for i in range(50))
 
 
+def test_near_pairs_in_a_crowded_bucket(spark):
+    """Documents that all share one sketch's worth of text: every near pair among them is linked, not those of the leaders only."""
+    passage = prose(60, 4)
+    rows = [(i, f"{passage} {prose(60, 8000 + i)}") for i in range(120)]
+    rows += [(1000 + i, f"{passage} {scattered(t[len(passage) :], 20, i)}") for i, t in rows]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(spark, rows), sketches=3).collect()}
+    meet = lambda t: set(sketches_of(t, 3).tolist())
+    want = [i for i, t in rows[:120] if meet(t) & meet(rows[120 + i][1])]
+    assert len(want) > 60 and all(got[1000 + i] == i for i in want)
+
+
+def sketches_of(text, n):
+    h, first = near_dedup._word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    return near_dedup.order_sketches(*near_dedup._kmers(h, first, near_dedup.K), n, 2)[0]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200), (None, 3)] + [(300, 300 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
