@@ -44,6 +44,13 @@ def test_each_stage_works_on_what_is_left(spark):
     assert sum(r.length for r in pipeline.pack(spark, third, "").collect()) == tokens
 
 
+def test_passages_of_51_words_are_cut(spark):
+    passage = " ".join(f"{'abcde'[k % 5]}{k:04}" for k in range(51))
+    assert len(passage) < 400
+    docs = table(spark, [(i, f"{prose(60, 900 + i)} {passage} {prose(60, 950 + i)}") for i in range(2)]).select(*pipeline.COLUMNS)
+    assert not any(passage[20:-20] in r.text for r in pipeline.repeats(spark, docs, "").collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_runs(spark):
     out = pipeline.run(spark, SF)
