@@ -200,8 +200,7 @@ def pool_session(spark, sf):
 
 @query()
 def stub_embed_h(spark, sf):
-    text = F.left(F.coalesce("text", F.lit("")), F.lit(64))
-    v = table(spark, sf, "documents").select("doc_id", embedders.embed(text, "stub_h", 16).alias("v"))
+    v = table(spark, sf, "documents").select("doc_id", embedders.embed(F.coalesce("text", F.lit("")), "stub_h").alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("i", "x")).select("doc_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 

@@ -182,3 +182,15 @@ def test_level_rules():
     assert ranking.SearchOptions(top_level=0, bottom_level=0).resolved().top_level == 0
     assert ranking.SearchOptions(top_level=0, bottom_level=0, zero_range_is_all=True).resolved().top_level == 3
     assert ranking.SearchOptions(k=0).resolved().k == 10 and ranking.SearchOptions(k=900).resolved(E).k == 100
+
+
+def test_stub_query_reads_whole_texts(spark, tmp_path):
+    """Texts that share their first 64 characters get different vectors, of the full dimension."""
+    from loomtree.plans import search_queries
+
+    texts = ["a" * 64 + end for end in (" goes north", " stays south")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.i): r.x for r in search_queries.stub_embed_h(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert [got[i, k] for k in range(384)] == pytest.approx(embedders.stub_h(t).tolist(), abs=6e-6)
+    assert [got[0, k] for k in range(384)] != [got[1, k] for k in range(384)]
