@@ -1,23 +1,24 @@
 """Near duplicates by order MinHash, verified by banded alignment.
 
 A document is its sequence of words; its k-mers are runs of two words, each labelled with its occurrence number, so that a repeated
-k-mer counts as often as it occurs. A sketch draws the `length` labelled k-mers with the smallest hashes and keeps them in text order;
-documents that agree in one of `sketches` sketches are candidates. Two documents are near duplicates if their edit similarity, one less
-the words to insert, delete or replace over the words of the longer, is 0.8 or more; a banded alignment of the whole word sequences
-decides, on 32-bit word hashes.
+k-mer counts as often as it occurs. A sketch draws the `length` labelled k-mers with the smallest hashes (two in texts of up to
+`FEW` words) and keeps them in text order; documents that agree in one sketch are candidates. Two documents are near duplicates if their edit
+similarity, one less the words to insert, delete or replace over the words of the longer, is 0.8 or more; a banded alignment of the whole
+word sequences decides, on 32-bit word hashes.
 
-An edit changes two runs of two words at most, so near duplicates have at least 0.6 of these runs in common however the edits lie, and
-agree in each sketch with a chance of about 0.18 at least (0.15 for texts of 15 words): with random hashes, 40 sketches miss under two
-pairs in a thousand at worst. Pairs of up to `SHORT` words are found without chance: both have a common subsequence of all words but the
-edits, and each text gives all its own as buckets.
+Runs of two words instead of five, as an edit changes two of them at most: near duplicates have at least 0.6 of them in common however
+the edits lie, while edits in every fifth word leave no run of five. In `CORPUS` three runs must agree, so strangers share few sketches. Pairs of up
+to `SHORT` words are found without chance: both have a common subsequence of all words but the edits, and each text gives all its own as
+buckets.
 
-How groups are kept small: documents with equal word sequences are one representative from the start. In each bucket (documents with
+How groups are kept small: documents with equal word sequences are one representative from the start. Of each bucket (documents with
 one sketch) all are aligned with one of them, the leader, `stars` times with another leader: a large group of near copies costs one
 alignment per member and bucket. Documents that links have joined already, by whatever way, are not compared again. Where classes are
 still apart (documents that share a passage and no more), small buckets are compared pair by pair. In larger ones a pair is compared
-if it shares one of its rarest words: of two documents with 0.8 of their words in common, each has one of these among its rarest
-0.2 n + 1, whatever the order of words (prefix filtering). So nothing is dropped or capped. Classes are the connected components of the
-links.
+if it shares a rare token: of two documents with similarity 0.8 each has one of the words they share among its 0.2 n + 1 rarest, and one
+of the runs of two words they share among its 0.4 n + 1 rarest, whatever order of rarity is used (prefix filtering). Either filter loses
+nothing; each bucket takes the one that leaves fewer pairs. So nothing is dropped or capped. Classes are the connected components of
+the links.
 
 Defined results: a null text is an empty one; all texts without words form one class; texts of one word have it as
 their only k-mer; rows with null or repeated ids keep their rows; class_id is the smallest id in the class (null if all are null);
@@ -39,11 +40,15 @@ from .components import components
 
 K, SIMILAR = 2, 0.8
 
-#: Pairs of texts of up to so many words are found by common subsequences. Buckets of up to so many documents are compared pair by pair.
-SHORT, WHOLE = 14, 16
+#: Pairs of texts of up to so many words are found by common subsequences. Texts of up to FEW words draw sketches of two k-mers, FEW_TIMES
+#: of them. Buckets of up to WHOLE documents are compared pair by pair.
+SHORT, FEW, FEW_TIMES, WHOLE = 14, 40, 40, 16
 
-#: Documents in which words are counted to order them.
-SAMPLE = 2000
+#: For corpora of many strangers: three k-mers to a sketch, so that fewer meet by chance, and more sketches.
+CORPUS = {"sketches": 64, "length": 3}
+
+#: Bytes of sequences in which tokens are counted to order them by rarity.
+SAMPLE = 4 << 20
 
 #: Cells of one row over all pairs, and words of padded sequences, that are aligned at a time.
 CELLS, PADDED = 16384, 1 << 20
@@ -86,25 +91,25 @@ def _labelled(kmers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return mix(kmers + count * np.uint64(0xD6E8FEB86659FD93))
 
 
-def order_sketches(kmers: np.ndarray, at: np.ndarray, sketches: int, length: int) -> np.ndarray:
-    """rows x sketches; rows must have k-mers."""
+def order_sketches(kmers: np.ndarray, at: np.ndarray, sketches: int, length: int, salt: int = 0) -> np.ndarray:
+    """rows x sketches; rows must have k-mers. Rows with fewer k-mers than length take all they have."""
     many = np.diff(at)
-    rows = np.repeat(np.arange(len(many)), many)
-    label = _labelled(kmers, rows)
+    label = _labelled(kmers, np.repeat(np.arange(len(many)), many))
+    # The place in the low bits: the minimum of a row says where it is.
+    low = np.uint64((1 << int(len(kmers)).bit_length()) - 1)
+    place = np.arange(len(kmers), dtype=np.uint64)
+    ends = np.append(kmers, np.uint64(0))
     out = np.empty((len(many), sketches), np.uint64)
     for i, (a, b) in enumerate(_seeds(sketches)):
-        h = (label ^ b) * a
+        h = (label ^ b) * a & ~low | place
         places = np.full((len(many), length), len(kmers), np.int64)
         for j in range(length):
-            least = np.minimum.reduceat(h, at[:-1])
-            hit = np.flatnonzero(h == np.repeat(least, many))
-            r, one = np.unique(rows[hit], return_index=True)
-            fresh = least[r] != np.uint64(2**64 - 1)
-            places[r[fresh], j] = hit[one[fresh]]
+            fresh = many > j
+            hit = (np.minimum.reduceat(h, at[:-1])[fresh] & low).astype(np.int64)
+            places[fresh, j] = hit
             h[hit] = np.uint64(2**64 - 1)
         places.sort(axis=1)
-        ends = np.append(kmers, np.uint64(0))
-        x = np.full(len(many), i + 1, np.uint64)
+        x = np.full(len(many), i + 1 + salt, np.uint64)
         for j in range(length):
             x = mix(x * np.uint64(0x9E3779B97F4A7C15) + ends[places[:, j]])
         out[:, i] = x
@@ -135,8 +140,43 @@ def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hashes(prefix_hashes(data), starts, ends), first
 
 
+def _rows_of(kmers: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers of some rows, and each one's first."""
+    many = (at[1:] - at[:-1])[rows]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    return kmers[np.arange(ends[-1]) - np.repeat(ends[:-1] - at[:-1][rows], many)], ends
+
+
+def all_buckets(h: np.ndarray, first: np.ndarray, sketches: int, length: int, k: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of rows of words, by row: subsequences of short texts, sketches of two k-mers up to FEW words, of `length` beyond.
+
+    A pair belongs to the way for its longer text; the shorter has `similar` times as many words at least, so a row near a limit takes
+    part in two ways.
+    """
+    n = np.diff(first)
+    kmers, at = _kmers(h, first, k)
+    rows, found = (list(x) for x in zip(subsequences(h, first, similar), strict=True))
+    ways = ((n >= similar * (SHORT + 1)) & (n <= FEW), FEW_TIMES, min(2, length), 0), (n >= similar * (FEW + 1), sketches, length, 1 << 20)
+    for inside, times, size, salt in ways:
+        hit = np.flatnonzero(inside)
+        if len(hit):
+            found.append(order_sketches(*_rows_of(kmers, at, hit), times, size, salt).ravel())
+            rows.append(np.repeat(hit, times))
+    row, bucket = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((bucket, row))
+    row, bucket = row[order], bucket[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
+    return row[new], bucket[new]
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = words(data, at)
+    return span_hashes(prefix_hashes(data), starts, ends), first
+
+
 def _emit_sketches(sketches: int, length: int, k: int, similar: float):
-    """Two 64-bit digests of the word sequence, the number of words, and the sketches with the subsequences of short texts."""
+    """Two 64-bit digests of the word sequence, the number of words, and the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,16 +189,9 @@ def _emit_sketches(sketches: int, length: int, k: int, similar: float):
                 for salt in (1, 2):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + mix(place * np.uint64(2) + np.uint64(salt))))])
                     digest.append(mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64))
-                kmers, from_ = _kmers(h, first, k)
-                full = np.flatnonzero(np.diff(from_))
-                found = np.zeros((hi - lo, sketches), np.uint64)
-                if len(full):
-                    found[full] = order_sketches(kmers, np.append(from_[full], from_[-1]), sketches, length)
-                short, hashes = subsequences(h, first, similar)
-                row = np.concatenate([np.repeat(np.arange(hi - lo), sketches), short])
-                order = np.argsort(row, kind="stable")
+                row, bucket = all_buckets(h, first, sketches, length, k, similar)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([found.ravel(), hashes])[order].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("row_key").slice(lo, hi - lo), *map(pa.array, digest), pa.array(n.astype(np.int64)), lists], ["doc_id", "row_key", "d1", "d2", "n_words", "sketches"])
 
     return run
@@ -174,28 +207,31 @@ def _emit_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "seq"])
 
 
-def _labelled_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, and row and hash of each word, labelled with its occurrence number, of sequences."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kind (1: words, 2: runs of two), first row, words of each row, and row and hash of each token, labelled with its occurrence number."""
     data, at = binary(column)
-    for lo, hi, d, o in blocks(data, at):
-        rows = np.repeat(np.arange(hi - lo), np.diff(o) // 4)
-        yield lo, rows, _labelled(np.frombuffer(d.tobytes(), "<u4").astype(np.uint64), rows)
+    for lo, _, d, o in blocks(data, at):
+        h, first = mix(np.frombuffer(d.tobytes(), "<u4").astype(np.uint64)), o // 4
+        for kind in (1, 2):
+            tokens, from_ = _kmers(h, first, kind)
+            rows = np.repeat(np.arange(len(first) - 1), np.diff(from_))
+            yield kind, lo, np.diff(first), rows, _labelled(tokens, rows) + np.uint64(kind)
 
 
 def _emit_rarest(known: np.ndarray, often: np.ndarray, similar: float):
-    """Of the n words of each sequence the rarest n - 0.8 n + 1."""
+    """Of the n words of each sequence the rarest 0.2 n + 1, of its runs of two words the rarest 0.4 n + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, rows, label in _labelled_words(batch.column("seq")):
+            for kind, lo, n, rows, label in _tokens(batch.column("seq")):
                 at = np.minimum(np.searchsorted(known, label), max(len(known) - 1, 0))
                 count = np.where(known[at] == label, often[at], 0) if len(known) else np.zeros(len(label), np.int64)
                 order = np.lexsort((label, count, rows))
-                n = np.bincount(rows)
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                most = n - np.ceil(n * similar - 1e-9).astype(np.int64) + 1
-                hit = order[place < np.repeat(most, n)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), pa.array(label[hit].view(np.int64))], ["rep", "word"])
+                many = np.bincount(rows, minlength=len(n))
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+                most = np.floor(kind * (1 - similar) * n + 1e-9).astype(np.int64) + 1
+                hit = order[place < most[rows]]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), pa.array(np.full(len(hit), kind, np.int32)), pa.array(label[hit].view(np.int64))], ["rep", "kind", "token"])
 
     return run
 
@@ -304,30 +340,39 @@ def _emit_near(similar: float):
     return run
 
 
-def _apart(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pairs (leader, rep) of rows with equal keys, of different classes, whose lengths fit. The class with most rows of a key isn't joined with itself."""
-    most = rows.groupBy(*keys, "class").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.max_by("class", F.struct("k", "class")).alias("usual"), F.count("*").alias("classes"))
-    rows = rows.join(most.filter("classes > 1"), [*keys])
-    few = rows.filter("class <> usual").select(*keys, F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
-    rest = rows.select(*keys, "rep", "usual", F.col("class").alias("d"), F.col("n_words").alias("n"))
-    return few.join(rest, [*keys]).filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("usual")) | (F.col("leader") < F.col("rep")))).select("leader", "rep", "m", "n")
+def _apart(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (leader, rep, m, n) of rows with equal keys, of different classes. The class with most rows of a key isn't joined with itself."""
+    most = rows.groupBy(key, "class").agg(F.count("*").alias("k")).groupBy(key).agg(F.max(F.struct("k", "class")).alias("most"), F.count("*").alias("classes"))
+    most = materialize(most.filter("classes > 1").select(key, F.col("most.class").alias("usual")), "apart")
+    rows = rows.join(small(most), key)
+    few = rows.filter("class <> usual").select(key, F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
+    rest = rows.select(key, "rep", "usual", F.col("class").alias("d"), F.col("n_words").alias("n"))
+    return few.join(rest, key).filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("usual")) | (F.col("leader") < F.col("rep")))).select("leader", "rep", "m", "n")
 
 
 def _rarest(rows: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
-    """rows by key, one for the bucket and each of its document's rarest words that others have there too: near pairs share one at least.
+    """rows by key: one for the bucket and each of the document's rarest tokens that others have there too; near pairs share one at least.
 
-    Any order of words will do for that, as long as it is one for all; here they are counted in about `SAMPLE` documents.
+    Any order of tokens will do for that, as long as it is one for all; here they are counted in about `SAMPLE` bytes of sequences. Each
+    bucket takes words or runs of two, whichever makes fewer pairs.
     """
     own = materialize(sequences.join(rows.select("rep").distinct(), "rep", "left_semi"), "large")
-    part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1 + own.count() // SAMPLE)) == 0).select("seq").toArrow()["seq"].combine_chunks()
-    found = [label for _, _, label in _labelled_words(part)]
+    size = own.agg(F.sum(F.octet_length("seq"))).first()[0]
+    part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1 + size // SAMPLE)) == 0).select("seq").toArrow()["seq"].combine_chunks()
+    found = [label for *_, label in _tokens(part)]
     known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
     known, often = known[often > 1], often[often > 1]
-    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, word long"), "rarest")
-    shared = rare.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
-    keyed = rows.join(materialize(rare.join(small(shared), "word"), "shared"), "rep").select(F.xxhash64("bucket", "word").alias("key"), "rep", "class", "n_words")
-    mixed = keyed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("key")
-    return keyed.join(small(materialize(mixed, "mixed")), "key")
+    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long"), "rarest")
+    shared = materialize(rare.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens")
+    keyed = rows.join(rare.join(small(shared), "token"), "rep").select(F.xxhash64("bucket", "token").alias("key"), "bucket", "kind", "rep", "class", "n_words")
+    keyed = materialize(keyed, "keyed")
+    mixed = keyed.groupBy("key", "bucket", "kind").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).filter("c <> d")
+    mixed = materialize(mixed.select("key", "bucket", "kind", "n"), "mixed")
+    cost = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") * F.col("n")).otherwise(0))
+    # Near pairs share tokens of either kind: a bucket without mixed keys of one kind has none.
+    cheaper = mixed.groupBy("bucket").agg(F.when(cost(1) <= cost(2), 1).otherwise(2).alias("kind"))
+    chosen = materialize(mixed.join(cheaper, ["bucket", "kind"], "left_semi").select("key"), "chosen")
+    return keyed.join(small(chosen), "key").select("key", "rep", "class", "n_words")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 40, length: int = 2, stars: int = 2) -> DataFrame:
@@ -337,42 +382,55 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    sketched = materialize(texts.mapInArrow(lean(_emit_sketches(sketches, length, k, similar)), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>"), "sketches")
-    # rep, 64 bits of the word sequence, names all documents with that sequence; row is one of them.
-    sequence = F.xxhash64("d1", "d2").alias("rep")
-    unique = materialize(sketched.groupBy(sequence).agg(F.min("n_words").alias("n_words"), F.min("row_key").alias("row"), F.first("sketches").alias("sketches")), "unique")
+    sketched = texts.mapInArrow(lean(_emit_sketches(sketches, length, k, similar)), f"doc_id {kind}, row_key long, d1 long, d2 long, n_words long, sketches array<long>")
+    # rep, 64 bits of the word sequence, names all documents with that sequence; row tells rows apart.
+    sketched = sketched.select("doc_id", "row_key", "n_words", F.xxhash64("d1", "d2").alias("rep"), F.monotonically_increasing_id().alias("row"), "sketches")
+    sketched = materialize(sketched, "sketches")
+    # One row stands for each rep; the others are few, or a shuffle join takes them out.
+    firsts = sketched.groupBy("rep").agg(F.min("row").alias("row"), F.count("*").alias("n")).filter("n > 1")
+    firsts = small(materialize(firsts.select("rep", F.col("row").alias("first")), "firsts"))
+    unique = sketched.join(firsts, "rep", "left").filter("first IS NULL OR row = first")
+    exploded = unique.filter("n_words > 0").select("rep", F.explode("sketches").alias("bucket"))
     # What one document has alone in a bucket needs no further look.
-    buckets = unique.filter("n_words > 0").select("rep", "row", "n_words", F.explode(F.array_distinct("sketches")).alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = materialize(buckets.join(crowded, "bucket").select("bucket", "rep", "row", "n_words"), "buckets")
-    needed = materialize(rows.select("rep", F.col("row").alias("row_key"), "n_words").distinct(), "needed")
-    sequences = texts.select("row_key", "text").join(small(needed.drop("n_words")), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
-    sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
-    label = needed.select("rep", F.col("rep").alias("class"), "n_words")
+    crowded = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("size > 1")
+    crowded = materialize(crowded, "crowded")
+    pairs = crowded.filter("size = 2").select("a", "b").distinct()
+    rows = materialize(exploded.join(small(crowded.filter("size > 2").select("bucket")), "bucket").select("bucket", "rep"), "buckets")
     # Of buckets with the same documents one is enough.
     several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", F.lit("a"))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("b"))).alias("y"))
     several = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialize(rows.join(several, "bucket", "left_semi").select("bucket", "rep"), "several")
+    rows = materialize(rows.join(small(materialize(several, "several")), "bucket", "left_semi"), "rows")
+    pairs = materialize(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(rows.select("rep")).distinct()
+    needed = materialize(unique.join(small(materialize(needed, "reps")), "rep", "left_semi").select("rep", "row_key", "n_words"), "needed")
+    n_needed = needed.count()
+    sequences = texts.select("row_key", "text").join(small(needed.drop("n_words")), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
+    sequences = materialize(sequences, "sequences")
+    if sequences.count() > n_needed:  # rows that are equal in id and text
+        sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
+    label = needed.select("rep", F.col("rep").alias("class"), "n_words")
     done = None
     # Lengths alone rule a pair out.
     fits = F.least("m", "n") >= F.greatest("m", "n") * similar - 1e-9
     for level in range(stars + 1):
-        rows = rows.join(label, "rep")
-        mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("c"), F.max("class").alias("d"), F.min_by(F.struct("rep", "class", "n_words"), F.xxhash64("rep", F.lit(level))).alias("leader"))
-        # A bucket of two has been compared by the first leader.
-        mixed = mixed.filter((F.col("c") != F.col("d")) & (F.col("size") > (2 if level else 1))).select("bucket", "size", "leader")
-        rows = materialize(rows.join(mixed, "bucket"), "crowded")
-        if rows.isEmpty():
+        lengths = small(label)
+        rows = rows.join(lengths, "rep")
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("c"), F.max("class").alias("d"), F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), "rep", "class", "n_words")).alias("leader"))
+        mixed = mixed.filter("c <> d").select("bucket", "size", F.col("leader.rep").alias("leader"), F.col("leader.class").alias("c"), F.col("leader.n_words").alias("m"))
+        rows = materialize(rows.join(small(materialize(mixed, "mixed")), "bucket"), "crowded")
+        if level and rows.isEmpty():
             break
         if level < stars:
-            led = rows.select(F.col("leader.rep").alias("leader"), F.col("leader.class").alias("c"), F.col("leader.n_words").alias("m"), "rep", F.col("class").alias("d"), F.col("n_words").alias("n"))
-            led = led.filter(F.col("c") != F.col("d")).select("leader", "rep", "m", "n")
+            led = rows.filter(F.col("c") != F.col("class")).select("leader", "rep", "m", F.col("n_words").alias("n"))
+            if not level:
+                side = lambda x, n: label.select(F.col("rep").alias(x), F.col("n_words").alias(n))
+                led = led.unionByName(pairs.join(small(side("a", "m")), "a").join(small(side("b", "n")), "b").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "m", "n"))
         else:
             rows = rows.select("bucket", "rep", "class", "n_words", "size")
             led = _apart(rows.filter(F.col("size") <= WHOLE), "bucket")
             large = rows.filter(F.col("size") > WHOLE)
             if not large.isEmpty():
-                led = led.unionByName(_apart(materialize(_rarest(large, sequences, similar), "rare"), "key"))
+                led = led.unionByName(_apart(_rarest(large, sequences, similar), "key"))
         led = led.filter(fits).select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
         asked = materialize(led if done is None else led.join(done, ["leader", "rep"], "left_anti"), "asked")
         done = asked if done is None else done.unionByName(asked)
@@ -382,16 +440,18 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
         if not near.isEmpty():
             c = label.select(F.col("rep").alias("leader"), F.col("class").alias("a"))
             d = label.select("rep", F.col("class").alias("b"))
-            merged = components(near.join(c, "leader").join(d, "rep").select("a", "b")).withColumnRenamed("node", "class")
-            label = materialize(label.join(merged, "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words"), "label")
+            merged = components(near.join(small(c), "leader").join(small(d), "rep").select("a", "b")).withColumnRenamed("node", "class")
+            label = materialize(label.join(small(merged), "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words"), "label")
         rows = rows.select("bucket", "rep")
     label = label.select("rep", F.col("class").alias("component"))
-    base = unique.select("rep")
-    base = base.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    rows = sketched.select("doc_id", "row_key", "n_words", sequence)
-    sizes = rows.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
-    classes = base.join(sizes, "rep").groupBy("component").agg(F.sum("n").alias("class_size"), F.min("least").alias("least"))
-    base = materialize(base.join(classes, "component").select("rep", "class_size", F.col("least.doc_id").alias("class_id"), F.col("least.row_key").alias("kept")), "classes")
+    sizes = sketched.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
+    base = materialize(sizes.join(small(label), "rep", "left").select("rep", "n", "least", F.coalesce("component", "rep").alias("component")), "base")
+    # Most classes are one rep; only the others meet again.
+    joined = base.join(small(label.select("component").distinct()), "component", "left_semi")
+    classes = joined.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("least").alias("first"))
+    base = base.join(small(materialize(classes, "classes")), "component", "left").select("rep", F.coalesce("class_size", "n").alias("class_size"), F.coalesce("first", "least").alias("least"))
+    base = base.select("rep", "class_size", F.col("least.doc_id").alias("class_id"), F.col("least.row_key").alias("kept"))
+    rows = sketched.select("doc_id", "row_key", "n_words", "rep")
     return rows.join(base, "rep").select("doc_id", "row_key", "n_words", "class_id", "class_size", (F.col("row_key") == F.col("kept")).alias("keep"))
 
 

@@ -53,7 +53,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    found = near_dedup.near_classes(table(spark, sf_dir, "documents"), **near_dedup.CORPUS)
     return found.select("doc_id", "n_words", "class_id", "class_size", "keep")
 
 
