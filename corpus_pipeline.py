@@ -11,8 +11,8 @@ from loomtree.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Bytes of a passage that is cut where documents share it: under those of 51 words, of about six bytes each.
-REPEATED = 250
+#: Words of a passage that is cut where documents share it.
+REPEATED = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(docs, REPEATED, carry=("lang", "source"), as_text=True)
+    found = suffix_dedup.remove_repeats(docs, REPEATED, carry=("lang", "source"), as_text=True, unit="words")
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

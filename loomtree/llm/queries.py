@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, near_dedup, packing, piecewise_hash, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_rules
-from .common import table
+from .common import materialize, small, table
+
+#: Words of a passage that op9 reports besides strings of 400 bytes.
+PASSAGE = 50
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +51,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, from strings of 400 bytes; and n_passage_words, words in repeated passages of `PASSAGE` words or more,
+    many of which have fewer bytes than 400."""
+    docs = table(spark, sf_dir, "documents")
+    found = suffix_dedup.remove_repeats(docs)
+    passages = materialize(suffix_dedup.covered(docs, PASSAGE, "words"), "passages").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    found = found.join(small(passages), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("n_covered", F.lit(0)).cast("long").alias("n_passage_words")
+    )
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

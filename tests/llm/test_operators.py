@@ -97,6 +97,49 @@ def test_repeats_in_long_texts(spark):
     assert suffix_result(table(spark, rows), 400) == sorted(removed(rows, 400), key=str)
 
 
+def covered_words(rows, depth):
+    data = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(t[i : i + depth]) for t in data for i in range(len(t) - depth + 1))
+    out = []
+    for (i, _), t in zip(rows, data, strict=True):
+        mark = {k for p in range(len(t) - depth + 1) if seen[tuple(t[p : p + depth])] > 1 for k in range(p, p + depth)}
+        out.append((i, [w for k, w in enumerate(t) if k not in mark], len(mark)))
+    return out
+
+
+@pytest.mark.parametrize(("depth", "hot"), [(50, 256), (50, 1), (5, 4)])
+def test_repeated_words(spark, docs, depth, hot):
+    """White space may differ between copies; what is left are the words outside repeated windows."""
+    rows = [r[:2] for r in corpus()] + [(500, corpus()[60][1].replace(" ", " \n\t"))]
+    df = docs.unionByName(table(spark, rows[-1:]))
+    want = covered_words(rows, depth)
+    got = suffix_dedup.remove_repeats(df, depth, as_text=True, unit="words", hot=hot).collect()
+    assert sorted((str(r.doc_id), WORD.findall(r.kept)) for r in got) == sorted((str(i), w) for i, w, _ in want)
+    counts = suffix_dedup.covered(df, depth, "words", hot=hot).collect()
+    ids = {(str(i), n) for i, _, n in want if n}
+    assert {(str(r.doc_id), r.n_covered) for r in counts} == ids
+
+
+def test_repeated_words_in_long_texts(spark):
+    """A text over several blocks, with a passage over their border."""
+    w = random.Random(3).choices(WORDS, k=130_000)
+    rows = [(1, " ".join(w)), (2, "x " + " ".join(w[32_700:32_800]) + " y"), (3, " ".join(w[129_900:]))]
+    got = suffix_dedup.remove_repeats(table(spark, rows), 50, as_text=True, unit="words").collect()
+    assert sorted((str(r.doc_id), WORD.findall(r.kept)) for r in got) == sorted((str(i), k) for i, k, _ in covered_words(rows, 50))
+
+
+def test_equal_hashes_are_compared_byte_by_byte(monkeypatch):
+    """With digests that say nothing, the bytes alone decide."""
+    rng = random.Random(4)
+    passage = bytes(rng.choices(b"abcdefgh", k=60))
+    chunks = [bytes(rng.choices(b"abcdefgh", k=50)) + passage, passage + bytes(rng.choices(b"abcdefgh", k=30)), bytes(rng.choices(b"abcdefgh", k=90))]
+    data, at = np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([0, *map(len, chunks)])
+    real = suffix_dedup._digits
+    monkeypatch.setattr(suffix_dedup, "_digits", lambda *a: (*real(*a)[:4], *[np.zeros(len(real(*a)[0]), np.uint64)] * 2))
+    rows, lo, hi = suffix_dedup._repeated(np.zeros(3, np.int64), data, at, 40, "bytes")
+    assert [*map(tuple, zip(rows.tolist(), lo.tolist(), hi.tolist(), strict=True))] == [(0, 50, 71), (1, 0, 21)]
+
+
 def test_no_documents_no_repeats(empty):
     assert suffix_result(empty, 400) == []
 
