@@ -5,15 +5,16 @@ cumulative words through it over the source's target; here the copy counts with
 document of its share. All copies are then sorted by that time over all sources and taken until the total budget is reached.
 
 DataFrame functions only. Cumulative sums run in two levels, so that no source, however large, is one task's: totals of 1/parts-th
-slices of a source's shuffle, and running sums inside a slice. The sorted order is cut likewise: words per 1/4096-th of virtual time
-and per 1/4096-th of that decide all but one slice whole, and only that slice is summed copy by copy.
+slices of a source's shuffle, and running sums inside a slice. The sorted order is cut likewise: copies are dealt
+to ranges of virtual time, 1/4096-th of a unit and 1/4096-th of that. Ranges before the cut are taken whole and those after it not at
+all, so only the range with the cut is sorted copy by copy: the truncation of the global range sort, without moving the copies.
 
 Targets: water-filling. With weights w, caps c = epochs x size and total T, targets are min(c, level x w) with the level that makes
 them sum to T, which is what resharing the excess by weight until no source is above its cap comes to.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source, the last one; rows with null or repeated ids
-keep their rows; an empty table gives no rows; other columns are ignored. The shuffle depends on (seed, doc_id, text) only, so reruns
-agree; rows equal in id and text are interchangeable.
+keep their rows; an empty table gives no rows; other columns are ignored. The shuffle depends on (seed, doc_id, text) only, whatever
+the input's order, so reruns agree; rows equal in id and text are interchangeable.
 """
 
 from __future__ import annotations
@@ -47,9 +48,10 @@ def targets(sizes: DataFrame, epochs: int, weights: tuple[float, ...] = WEIGHTS)
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def _shuffle(seed: int) -> Column:
-    """A number from 0 to 2**32 - 1 by which a source's documents are shuffled."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+def _shuffle(seed: int, text: Column) -> Column:
+    """A number of 60 bits by which a source's documents are shuffled."""
+    keys = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("null")))
+    return F.conv(F.substring(F.md5(keys), 1, 15), 16, 10).cast("long")
 
 
 def _last(copies: DataFrame, bin_: Column, before: int, budget: int):
@@ -61,8 +63,8 @@ def _last(copies: DataFrame, bin_: Column, before: int, budget: int):
 
 def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, parts: int = 256) -> DataFrame:
     """doc_id, text_hash, size, source_size, target, copies and taken (size x copies) of every row of docs."""
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(docs["text"]).alias("size"))
-    sized = sized.withColumn("h", _shuffle(seed)).withColumn("slice", F.floor(F.col("h") * parts / 2**32).cast("int"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(docs["text"]).alias("size"), _shuffle(seed, docs["text"]).alias("h"))
+    sized = sized.withColumn("slice", F.floor(F.shiftright("h", 28) * parts / 2**32).cast("int"))
     sized = materialize(sized, "sizes")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs, weights)
     before = F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")

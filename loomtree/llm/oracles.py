@@ -7,7 +7,7 @@ from .url_rules import RULES
 _MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT source, source_size, 3 * source_size AS cap, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)]::DOUBLE AS w FROM s0),

@@ -435,6 +435,18 @@ def test_mixing(spark, empty):
     assert abs(mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] - sum(sizes.values())) <= 300
 
 
+def test_mixing_agrees_whatever_the_order(spark):
+    """Rows with one id, or none, and different texts of one length."""
+    rows = [(1 if i < 300 else None if i < 360 else i, prose(12, i), "en", "ab"[i % 2]) for i in range(430)]
+    taken = []
+    for k in (0, 1, 2):
+        random.Random(k).shuffle(rows)
+        df = table(spark, rows).repartition(1 + 2 * k).select("doc_id", "text", "source")
+        got = mixing.mix_sources(df).join(df.select(F.xxhash64("text").alias("text_hash"), "text"), "text_hash")
+        taken.append(sorted((r.text, r.taken) for r in got.collect()))
+    assert taken[0] == taken[1] == taken[2] and len({t for _, t in taken[0]}) > 1
+
+
 # 8. Sharding.
 
 
