@@ -474,6 +474,61 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def shards_by_hand(rows, shards):
+    """The layout, record by record: large units first into the emptiest shard, the others by key into what is left of each."""
+    data = [((t or "").encode(), i) for i, t in rows]
+    sizes = [len(t) + 16 for t, _ in data]
+    share = sum(sizes) / shards
+    by_text = defaultdict(list)
+    for k, (t, _) in enumerate(data):
+        by_text[t].append(k)
+    hash32 = lambda x: int(hashlib.md5(x).hexdigest()[:8], 16)
+    units, small = [], defaultdict(list)
+    for t, members in by_text.items():
+        high, whole = hash32(t), sum(sizes[k] for k in members)
+        if share / 8 < whole <= share:
+            units.append((whole, high, 0, members))
+        elif whole > share and sizes[members[0]] > share / 8:
+            members.sort(key=lambda k: (data[k][1] is not None, data[k][1] or 0))
+            units += [(sizes[k], high, n + 1, [k]) for n, k in enumerate(members)]
+        else:
+            seen = Counter()
+            for k in members:
+                i = data[k][1]
+                low = hash32(f"{'null' if i is None else i}|{seen[i]}".encode()) // 2 if whole > share else 0
+                seen[i] += 1
+                small[high * 2**31 + low].append(k)
+    loads, out = [0] * shards, {}
+    for size, _, _, members in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
+        s = min(range(shards), key=lambda s: (loads[s], s))
+        loads[s] += size
+        out.update(dict.fromkeys(members, s))
+    rest = sum(sizes) - sum(loads)
+    low, high = 0.0, float(sum(sizes) + 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(max(0, level - x) for x in loads) < rest else (low, level)
+    ends, at = np.cumsum([max(0, low - x) for x in loads]), 0
+    for key in sorted(small):
+        size = sum(sizes[k] for k in small[key])
+        out.update(dict.fromkeys(small[key], min(int(np.searchsorted(ends, at + size / 2, side="right")), shards - 1)))
+        at += size
+    return Counter((str(data[k][1]), sizes[k], s) for k, s in out.items())
+
+
+@pytest.mark.parametrize("shards", [4, 9])
+def test_sharding_by_hand(spark, shards):
+    """Copies without ids, or with one id, of a text over a shard; texts of copies just under one; records over one."""
+    rows = [(i, prose(30 + i % 40, i)) for i in range(200)]
+    rows += [(None if i < 150 else 7, "hot text " * 30) for i in range(300)]
+    rows += [(1000 + i, prose(600, 77)) for i in range(4)] + [(2000 + i, prose(4000, 78)) for i in range(2)] + [(None, None), (3, "")]
+    got = sharding.shard(table(spark, rows).repartition(5), shards, ranges=16, most=40).collect()
+    assert Counter((str(r.doc_id), r.size, r.shard) for r in got) == shards_by_hand(rows, shards)
+    for s in range(shards):
+        members = [r.slot for r in got if r.shard == s]
+        assert sorted(members) == list(range(len(members)))
+
+
 # 5. URLs.
 
 
