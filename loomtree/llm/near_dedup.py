@@ -13,11 +13,13 @@ buckets.
 
 How groups are kept small: documents with equal word sequences are one representative from the start. Of each bucket (documents with
 one sketch) all are aligned with one of them, the leader, `stars` times with another leader: a large group of near copies costs one
-alignment per member and bucket. Documents that links have joined already, by whatever way, are not compared again. Where classes are
+alignment per member and bucket. The first leaders are those that meet most others in all their buckets, as such lie in the middle of
+their group. Documents that links have joined already, by whatever way, are not compared again. Where classes are
 still apart (documents that share a passage and no more), small buckets are compared pair by pair. In larger ones a pair is compared
 if it shares a rare token: of two documents with similarity 0.8 each has one of the words they share among its 0.2 n + 1 rarest, and one
 of the runs of two words they share among its 0.4 n + 1 rarest, whatever order of rarity is used (prefix filtering). Either filter loses
-nothing; each bucket takes the one that leaves fewer pairs. So nothing is dropped or capped. Classes are the connected components of
+nothing; the one that leaves fewer pairs is taken. Pairs whose words, counted in bits, already differ too much are not compared. So nothing
+is dropped or capped. Classes are the connected components of
 the links.
 
 Defined results: a null text is an empty one; all texts without words form one class; texts of one word have it as
@@ -47,6 +49,9 @@ SHORT, FEW, FEW_TIMES, WHOLE = 14, 40, 40, 16
 #: For corpora of many strangers: three k-mers to a sketch, so that fewer meet by chance, and more sketches.
 CORPUS = {"sketches": 64, "length": 3}
 
+#: Bits of a document, by which pairs of up to about a thousand words are ruled out before their sequences are fetched.
+BITS = 2048
+
 #: Bytes of sequences in which tokens are counted to order them by rarity.
 SAMPLE = 4 << 20
 
@@ -197,14 +202,25 @@ def _emit_sketches(sketches: int, length: int, k: int, similar: float):
     return run
 
 
+def _parities(label: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """rows x words of BITS: each labelled word flips one of a row's bits. So two rows differ in no more bits than labelled words, which
+    is twice the edit distance less the difference of their lengths at most."""
+    n = np.diff(first)
+    place = np.repeat(np.arange(len(n)) * BITS, n) + (label % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(n) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, BITS), axis=1).view(np.int64)
+
+
 def _emit_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as 32-bit hashes of its words."""
+    """Each text as 32-bit hashes of its words, and its bits."""
     for batch in batches:
         data, at = binary(batch.column("text"))
         for lo, hi, d, o in blocks(data, at):
             h, first = _word_hashes(d, o)
             short = (h >> np.uint64(32)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "seq"])
+            bits = _parities(_labelled(mix(short.astype(np.uint64)), np.repeat(np.arange(hi - lo), np.diff(first))), first)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), lists], ["rep", "seq", "bits"])
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -230,8 +246,10 @@ def _emit_rarest(known: np.ndarray, often: np.ndarray, similar: float):
                 many = np.bincount(rows, minlength=len(n))
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
                 most = np.floor(kind * (1 - similar) * n + 1e-9).astype(np.int64) + 1
-                hit = order[place < most[rows]]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), pa.array(np.full(len(hit), kind, np.int32)), pa.array(label[hit].view(np.int64))], ["rep", "kind", "token"])
+                inside = place < most[rows]
+                hit = order[inside]
+                columns = [np.full(len(hit), kind, np.int32), label[hit].view(np.int64), place[inside]]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), *map(pa.array, columns)], ["rep", "kind", "token", "place"])
 
     return run
 
@@ -340,39 +358,49 @@ def _emit_near(similar: float):
     return run
 
 
-def _apart(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (leader, rep, m, n) of rows with equal keys, of different classes. The class with most rows of a key isn't joined with itself."""
+def _apart(rows: DataFrame, key: str, similar: float) -> DataFrame:
+    """Pairs (leader, rep, m, n) of rows with equal keys, of different classes, that their lengths and bits let be near. The class with
+    most rows of a key isn't joined with itself."""
     most = rows.groupBy(key, "class").agg(F.count("*").alias("k")).groupBy(key).agg(F.max(F.struct("k", "class")).alias("most"), F.count("*").alias("classes"))
     most = materialize(most.filter("classes > 1").select(key, F.col("most.class").alias("usual")), "apart")
     rows = rows.join(small(most), key)
-    few = rows.filter("class <> usual").select(key, F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"))
-    rest = rows.select(key, "rep", "usual", F.col("class").alias("d"), F.col("n_words").alias("n"))
-    return few.join(rest, key).filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("usual")) | (F.col("leader") < F.col("rep")))).select("leader", "rep", "m", "n")
+    listed = [c for c in ("tokens", "place") if c in rows.columns]
+    few = rows.filter("class <> usual").select(key, F.col("rep").alias("leader"), F.col("class").alias("c"), F.col("n_words").alias("m"), F.col("bits").alias("own"), *(F.col(c).alias(f"own_{c}") for c in listed))
+    rest = rows.select(key, "rep", "usual", F.col("class").alias("d"), F.col("n_words").alias("n"), "bits", *listed)
+    most = (1 - similar) * F.greatest("m", "n") + 1e-9
+    differ = sum((F.bit_count(F.col("own")[i].bitwiseXOR(F.col("bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    fits = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("usual")) | (F.col("leader") < F.col("rep"))) & (F.abs(F.col("m") - F.col("n")) <= most)
+    fits &= differ + F.abs(F.col("m") - F.col("n")) <= 2 * most
+    if listed:  # a pair meets at the first token that both have, and not at each
+        fits &= ~F.arrays_overlap(F.slice("own_tokens", 1, F.col("own_place")), F.slice("tokens", 1, F.col("place")))
+    return few.join(rest, key).filter(fits).select("leader", "rep", "m", "n")
 
 
 def _rarest(rows: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
-    """rows by key: one for the bucket and each of the document's rarest tokens that others have there too; near pairs share one at least.
+    """rows by key, one for each of the document's rarest tokens that others have there too: near pairs share one at least.
 
-    Any order of tokens will do for that, as long as it is one for all; here they are counted in about `SAMPLE` bytes of sequences. Each
-    bucket takes words or runs of two, whichever makes fewer pairs.
+    Any order of tokens will do for that, as long as it is one for all; here they are counted in about `SAMPLE` bytes of sequences.
+    Words or runs of two are taken, whichever makes fewer pairs.
     """
-    own = materialize(sequences.join(rows.select("rep").distinct(), "rep", "left_semi"), "large")
+    own = materialize(sequences.join(small(rows.select("rep")), "rep", "left_semi"), "large")
     size = own.agg(F.sum(F.octet_length("seq"))).first()[0]
     part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1 + size // SAMPLE)) == 0).select("seq").toArrow()["seq"].combine_chunks()
     found = [label for *_, label in _tokens(part)]
     known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
     known, often = known[often > 1], often[often > 1]
-    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long"), "rarest")
-    shared = materialize(rare.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens")
-    keyed = rows.join(rare.join(small(shared), "token"), "rep").select(F.xxhash64("bucket", "token").alias("key"), "bucket", "kind", "rep", "class", "n_words")
-    keyed = materialize(keyed, "keyed")
-    mixed = keyed.groupBy("key", "bucket", "kind").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).filter("c <> d")
-    mixed = materialize(mixed.select("key", "bucket", "kind", "n"), "mixed")
-    cost = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") * F.col("n")).otherwise(0))
-    # Near pairs share tokens of either kind: a bucket without mixed keys of one kind has none.
-    cheaper = mixed.groupBy("bucket").agg(F.when(cost(1) <= cost(2), 1).otherwise(2).alias("kind"))
-    chosen = materialize(mixed.join(cheaper, ["bucket", "kind"], "left_semi").select("key"), "chosen")
-    return keyed.join(small(chosen), "key").select("key", "rep", "class", "n_words")
+    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long, place long"), "rarest")
+    classes = rows.select("rep", "class")
+    mixed = rare.join(small(classes), "rep").groupBy("kind", "token").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).filter("c <> d")
+    mixed = materialize(mixed.select("kind", "token", "n"), "mixed")
+    # Near pairs share tokens of either kind, so one kind is enough.
+    cost = {r["kind"]: r["cost"] for r in mixed.groupBy("kind").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost")).collect()}
+    kind = min((1, 2), key=lambda k: cost.get(k, 0))
+    chosen = mixed.filter(F.col("kind") == kind).select("token")
+    keyed = rare.filter(F.col("kind") == kind).join(small(chosen), "token")
+    lists = keyed.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("listed"))
+    lists = lists.join(rows, "rep").select("rep", "class", "n_words", "bits", F.col("listed.token").alias("tokens"))
+    # One after another, the rarest first: posexplode keeps the tokens beside each.
+    return lists.select("rep", "class", "n_words", "bits", "tokens", F.posexplode("tokens").alias("place", "key"))
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches: int = 40, length: int = 2, stars: int = 2) -> DataFrame:
@@ -395,27 +423,30 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
     crowded = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("size > 1")
     crowded = materialize(crowded, "crowded")
     pairs = crowded.filter("size = 2").select("a", "b").distinct()
-    rows = materialize(exploded.join(small(crowded.filter("size > 2").select("bucket")), "bucket").select("bucket", "rep"), "buckets")
+    rows = materialize(exploded.join(small(crowded.filter("size > 2").select("bucket", "size")), "bucket").select("bucket", "rep", "size"), "buckets")
+    # How many others a document meets, over all its buckets: the first leaders are those that meet most, which lie in the middle.
+    central = materialize(rows.groupBy("rep").agg(F.sum("size").alias("met")), "central")
     # Of buckets with the same documents one is enough.
     several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", F.lit("a"))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("b"))).alias("y"))
     several = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialize(rows.join(small(materialize(several, "several")), "bucket", "left_semi"), "rows")
+    rows = materialize(rows.select("bucket", "rep").join(small(materialize(several, "several")), "bucket", "left_semi"), "rows")
     pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(rows.select("rep")).distinct()
     needed = materialize(unique.join(small(materialize(needed, "reps")), "rep", "left_semi").select("rep", "row_key", "n_words"), "needed")
     n_needed = needed.count()
-    sequences = texts.select("row_key", "text").join(small(needed.drop("n_words")), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary")
+    sequences = texts.select("row_key", "text").join(small(needed.drop("n_words")), "row_key").select("rep", "text").mapInArrow(lean(_emit_sequences), "rep long, seq binary, bits array<long>")
     sequences = materialize(sequences, "sequences")
     if sequences.count() > n_needed:  # rows that are equal in id and text
-        sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq")), "sequences")
-    label = needed.select("rep", F.col("rep").alias("class"), "n_words")
+        sequences = materialize(sequences.groupBy("rep").agg(F.max("seq").alias("seq"), F.max("bits").alias("bits")), "sequences")
+    label = needed.join(small(central), "rep", "left").select("rep", F.col("rep").alias("class"), "n_words", F.coalesce("met", F.lit(0)).alias("met"))
+    label = materialize(label, "label")
     done = None
     # Lengths alone rule a pair out.
     fits = F.least("m", "n") >= F.greatest("m", "n") * similar - 1e-9
     for level in range(stars + 1):
-        lengths = small(label)
-        rows = rows.join(lengths, "rep")
-        mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("c"), F.max("class").alias("d"), F.min(F.struct(F.xxhash64("rep", F.lit(level)).alias("h"), "rep", "class", "n_words")).alias("leader"))
+        rows = rows.join(small(label), "rep")
+        first = F.lit(0) if level else -F.col("met")
+        mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("c"), F.max("class").alias("d"), F.min(F.struct(first.alias("first"), F.xxhash64("rep", F.lit(level)).alias("h"), "rep", "class", "n_words")).alias("leader"))
         mixed = mixed.filter("c <> d").select("bucket", "size", F.col("leader.rep").alias("leader"), F.col("leader.class").alias("c"), F.col("leader.n_words").alias("m"))
         rows = materialize(rows.join(small(materialize(mixed, "mixed")), "bucket"), "crowded")
         if level and rows.isEmpty():
@@ -427,21 +458,26 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, k: int = K, sketches
                 led = led.unionByName(pairs.join(small(side("a", "m")), "a").join(small(side("b", "n")), "b").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "m", "n"))
         else:
             rows = rows.select("bucket", "rep", "class", "n_words", "size")
-            led = _apart(rows.filter(F.col("size") <= WHOLE), "bucket")
+            bits = sequences.join(small(rows.select("rep").distinct()), "rep", "left_semi").select("rep", "bits")
+            rows = materialize(rows.join(bits, "rep"), "left")
+            led = _apart(rows.filter(F.col("size") <= WHOLE), "bucket", similar)
             large = rows.filter(F.col("size") > WHOLE)
             if not large.isEmpty():
-                led = led.unionByName(_apart(_rarest(large, sequences, similar), "key"))
-        led = led.filter(fits).select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("rep")).distinct()
-        asked = materialize(led if done is None else led.join(done, ["leader", "rep"], "left_anti"), "asked")
-        done = asked if done is None else done.unionByName(asked)
-        a = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"))
-        both = asked.join(a, "leader").join(sequences.withColumnRenamed("seq", "y"), "rep")
+                large = materialize(large.drop("bucket", "size").dropDuplicates(["rep"]), "large")
+                led = led.unionByName(_apart(materialize(_rarest(large, sequences, similar), "keyed"), "key", similar))
+        led = led.filter(fits).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"), (F.col("leader") < F.col("rep")).alias("first"))
+        led = led.groupBy("a", "b").agg(F.max("first").alias("first"))
+        asked = materialize(led if done is None else led.join(done, ["a", "b"], "left_anti"), "asked")
+        done = asked.select("a", "b") if done is None else done.unionByName(asked.select("a", "b"))
+        asked = asked.select(F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("rep"))
+        x = sequences.select(F.col("rep").alias("leader"), F.col("seq").alias("x"))
+        both = asked.join(x, "leader").join(sequences.select("rep", F.col("seq").alias("y")), "rep")
         near = materialize(both.select("leader", "rep", "x", "y").mapInArrow(lean(_emit_near(similar)), "leader long, rep long, near boolean").filter("near"), "near")
         if not near.isEmpty():
             c = label.select(F.col("rep").alias("leader"), F.col("class").alias("a"))
             d = label.select("rep", F.col("class").alias("b"))
             merged = components(near.join(small(c), "leader").join(small(d), "rep").select("a", "b")).withColumnRenamed("node", "class")
-            label = materialize(label.join(small(merged), "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words"), "label")
+            label = materialize(label.join(small(merged), "class", "left").select("rep", F.coalesce("component", "class").alias("class"), "n_words", "met"), "label")
         rows = rows.select("bucket", "rep")
     label = label.select("rep", F.col("class").alias("component"))
     sizes = sketched.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
