@@ -16,8 +16,9 @@ tokens, leaves them in one group. The passes:
    per document.
 
 Digits are sorted by their 64-bit hashes, as only equality matters; step 4 makes sure of it. Grams with over `hot` kinds of runs don't go
-to one task: their windows become rows that are counted by two 64-bit hashes with map-side combining; these, and runs that are equal
-in their whole length (gram, length and whole by hash), count as equal by 128 bits without a look at the bytes.
+to one task: their runs are sliced to an eighth, by distance from the gram, and keyed by the tokens that all suffixes of a slice contain;
+then step 2 follows again, and so on down to single suffixes. Runs that are equal in their whole length count as equal by 128 bits (key
+and whole by hash) without a look at the bytes.
 
 Defined results: a null text is an empty one; documents are told apart by (doc_id, text), so null or repeated ids and repeated rows
 work (equal rows are copies of each other); texts under `depth` tokens are kept whole; other columns are ignored whatever their names.
@@ -85,14 +86,9 @@ def _suffixes(first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - (np.cumsum(inside) - inside)[rows] + first[:-1][rows]
 
 
-def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, depth: int, gram: int):
-    """Of rows of tokens: row, first suffix, number of suffixes, gram hash, number of places chosen and hash of the whole run, of each
-    run of suffixes whose chosen grams are equal. Mostly that is one place; in a periodic text a run goes on from period to period."""
+def _chosen(h: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place that each suffix chooses, and hashes of the grams at all places."""
     width = depth - gram + 1
-    rows, starts = _suffixes(first, depth)
-    if not len(rows):
-        return None
-    h = prefix_hashes(data)
     grams = span_hashes(h, begin[: len(begin) - gram + 1], end[gram - 1 :])
     low = np.uint64((1 << _PLACE) - 1)
     keys = np.full(-(-len(grams) // width) * width, np.uint64(2**64 - 1))
@@ -100,16 +96,29 @@ def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarra
     square = keys.reshape(-1, width)
     ahead = np.minimum.accumulate(square, axis=1).ravel()
     behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    chosen = (np.minimum(behind[starts], ahead[starts + width - 1]) & low).astype(np.int64)
-    moved = np.ones(len(rows), bool)
-    moved[1:] = (chosen[1:] != chosen[:-1]) | (rows[1:] != rows[:-1])
+    return (np.minimum(behind[starts], ahead[starts + width - 1]) & low).astype(np.int64), grams
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in one of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, depth: int, gram: int):
+    """Of rows of tokens: row, first suffix, number of suffixes, gram hash, number of places chosen and hash of the whole run, of each
+    run of suffixes whose chosen grams are equal. Mostly that is one place; in a periodic text a run goes on from period to period."""
+    rows, starts = _suffixes(first, depth)
+    if not len(rows):
+        return None
+    h = prefix_hashes(data)
+    chosen, grams = _chosen(h, begin, end, starts, depth, gram)
     picked = grams[chosen]
-    new = np.ones(len(rows), bool)
-    new[1:] = (picked[1:] != picked[:-1]) | (rows[1:] != rows[:-1])
-    i = np.flatnonzero(new)
+    i = np.flatnonzero(_changes(picked, rows))
     last = starts[np.append(i[1:], len(rows)) - 1]
     whole = span_hashes(h, begin[starts[i]], end[last + depth - 1])
-    return rows[i], starts[i] - first[:-1][rows[i]], np.diff(np.append(i, len(rows))), picked[i].view(np.int64), np.add.reduceat(moved.astype(np.int64), i), whole.view(np.int64)
+    return rows[i], starts[i] - first[:-1][rows[i]], np.diff(np.append(i, len(rows))), picked[i].view(np.int64), np.add.reduceat(_changes(chosen, rows).astype(np.int64), i), whole.view(np.int64)
 
 
 def _emit_runs(depth: int, gram: int, unit: str):
@@ -279,19 +288,30 @@ def _emit_spans(depth: int, unit: str):
     return run
 
 
-def _emit_windows(depth: int, unit: str):
-    """For hot grams: each suffix as a row, by two hashes."""
+def _emit_slices(depth: int, gram: int, unit: str, width: int):
+    """For hot grams: runs of at most `width` suffixes at equal distances from their gram, keyed by the tokens that all of these contain."""
+    most = depth - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = binary(batch.column("chunk"))
             keys = np.asarray(batch.column("key")).view(np.uint64)
-            for lo, _, d, o in blocks(data, at):
-                rows, place, _, _, x, y = _digits(d, o, depth, unit)
-                take = pa.array(rows + lo)
-                start = np.asarray(batch.column("start").take(take)) + place
-                columns = [mix(mix(x * _SALT + y) ^ keys[rows + lo]).view(np.int64), (x + mix(y)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(start)], ["w1", "w2", "doc_id", "text_hash", "lo"])
+            for lo, _, x, o in blocks(data, at):
+                d, begin, end, first = _tokens(x, o, unit)
+                rows, starts = _suffixes(first, depth)
+                h = prefix_hashes(d)
+                chosen, _ = _chosen(h, begin, end, starts, depth, gram)
+                part = (starts - chosen + most) // width
+                i = np.flatnonzero(_changes(rows, chosen, part))
+                n = np.diff(np.append(i, len(rows)))
+                a, z = chosen[i] - most + np.minimum((part[i] + 1) * width - 1, most), chosen[i] - most + part[i] * width + depth
+                core = mix(span_hashes(h, begin[a], end[z - 1]) ^ mix(keys[rows[i] + lo] + part[i].astype(np.uint64)))
+                a, z = begin[starts[i]], end[starts[i] + n + depth - 2]
+                whole = span_hashes(h, a, z)
+                take = pa.array(rows[i] + lo)
+                start = np.asarray(batch.column("start").take(take)) + starts[i] - first[:-1][rows[i]]
+                chunks = pa.array([d[p:q].tobytes() for p, q in zip(a, z, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(start), pa.array(n), pa.array(whole.view(np.int64)), chunks], ["key", "doc_id", "text_hash", "start", "n", "whole", "chunk"])
 
     return run
 
@@ -351,6 +371,16 @@ def _texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return only(docs, "doc_id", "text", *carry).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"), *carry)
 
 
+def _collapsed(runs: DataFrame, depth: int, more: str) -> tuple[DataFrame, DataFrame]:
+    """(spans, asked): runs that equal another as a whole are repeated in all their windows; asked has place and kinds of one run of each
+    kind, of the keys that are to be looked at further."""
+    kinds = materialize(runs.groupBy("key", "whole", "n").agg(F.count("*").alias("copies"), F.min("place").alias("place")), "kinds")
+    copied = small(kinds.filter("copies > 1").select("key", "whole", "n"))
+    spans = runs.join(copied, ["key", "whole", "n"]).select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))
+    asked = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("copies").alias("copies")).filter(more).select("key", "kinds")
+    return spans, materialize(kinds.join(small(materialize(asked, "asked")), "key").select("place", "kinds"), "places")
+
+
 def repeated_spans(docs: DataFrame, depth: int = 400, unit: str = "bytes", gram: int | None = None, hot: int = 256) -> DataFrame:
     """doc_id, text_hash, lo, hi (in tokens) of repeated strings of `depth` tokens and more; spans of a document may overlap."""
     gram = max(1, min(gram or GRAM[unit], depth // 2))
@@ -360,23 +390,22 @@ def repeated_spans(docs: DataFrame, depth: int = 400, unit: str = "bytes", gram:
     runs = materialize(runs, "runs")
     often = materialize(runs.groupBy("key").agg(F.sum("times").alias("m")).filter("m > 1").select("key"), "often")
     shared = materialize(runs.join(small(often), "key").withColumn("place", F.monotonically_increasing_id()), "shared")
-    kinds = materialize(shared.groupBy("key", "whole", "n").agg(F.count("*").alias("copies"), F.min("place").alias("place")), "kinds")
-    copied = small(kinds.filter("copies > 1").select("key", "whole", "n"))
-    spans = shared.join(copied, ["key", "whole", "n"]).select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))
     # A gram with one kind of run is done, unless that is one run that has the gram at several places.
-    asked = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("copies").alias("copies")).filter("kinds > 1 OR copies = 1").select("key", "kinds")
-    asked = materialize(kinds.join(small(materialize(asked, "asked")), "key").select("place", "kinds"), "places")
+    spans, asked = _collapsed(shared, depth, "kinds > 1 OR copies = 1")
     per_doc = shared.join(small(asked), "place").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "n", "kinds")).alias("runs"))
     chunks = _with(texts, materialize(per_doc, "asked")).mapInArrow(lean(_emit_chunks(depth, unit)), f"key long, doc_id {kind}, text_hash long, start long, kinds long, chunk binary")
     chunks = materialize(chunks, "chunks")
-    few = chunks.filter(F.col("kinds") <= hot).repartition("key").sortWithinPartitions("key").select("key", "doc_id", "text_hash", "start", "chunk")
-    spans = spans.unionByName(few.mapInArrow(lean(_emit_spans(depth, unit)), f"doc_id {kind}, text_hash long, lo long, hi long"))
-    many = chunks.filter(F.col("kinds") > hot)
-    if not many.isEmpty():
-        windows = many.mapInArrow(lean(_emit_windows(depth, unit)), f"w1 long, w2 long, doc_id {kind}, text_hash long, lo long")
-        again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "again")
-        spans = spans.unionByName(windows.join(small(again), ["w1", "w2"]).select("doc_id", "text_hash", "lo", (F.col("lo") + depth).alias("hi")))
-    return spans
+    few, width = chunks.filter(F.col("kinds") <= hot), depth - gram
+    while width > 1 and not (many := chunks.filter(F.col("kinds") > hot)).isEmpty():
+        # Down to single suffixes, where a key has one kind of run.
+        width = max(1, width // 8)
+        pieces = many.mapInArrow(lean(_emit_slices(depth, gram, unit, width)), f"key long, doc_id {kind}, text_hash long, start long, n long, whole long, chunk binary")
+        pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
+        more, asked = _collapsed(pieces, depth, "kinds > 1")
+        chunks = materialize(pieces.join(small(asked), "place").select(chunks.columns), "chunks")
+        spans, few = spans.unionByName(more), few.unionByName(chunks.filter(F.col("kinds") <= hot))
+    few = few.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "text_hash", "start", "chunk")
+    return spans.unionByName(few.mapInArrow(lean(_emit_spans(depth, unit)), f"doc_id {kind}, text_hash long, lo long, hi long"))
 
 
 def covered(docs: DataFrame, depth: int, unit: str, **more) -> DataFrame:
