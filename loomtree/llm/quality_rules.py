@@ -3,16 +3,19 @@
 Base rules: a document fails with under 50 words, or if over half its words lie in 3-word runs that it has twice or more. Of the others
 the Jensen-Shannon divergence (base 2, so 0 to 1) from the nearest language reference decides, of two histograms: its code points over
 six character classes, and its words over common words of four languages and "other", the latter from 200 words on only, as shorter
-texts scatter. References are made from the table itself, for each language label that enough documents bear (min_docs): the median
-document's class shares, which junk under half the documents doesn't move, and the word counts summed over documents near these. Four
-languages with fewer documents have fixed references. References of labels that a share of the documents bear, and fixed ones, serve
-all documents; those of rarer labels serve the documents with that label, so that a few odd ones don't excuse the rest.
+texts scatter.
+
+Every language label has references made from the table itself, however few documents bear it: the median document's class shares,
+which junk under half the documents doesn't move, and the shares of words summed over documents near these. Four languages have fixed
+references besides, which count as `prior` documents of their label and are there even if no document bears it. A document is held to
+those of its own label and to those of the four languages, whichever is nearest. So no language is judged by other languages' words
+alone, and a label that one document bears lets that pass.
 
 Measured on labelled documents at sf0.1 that pass the base rules: class divergence of clean ones is at most 0.0065, of the others at
 least 0.033; the limit is 0.015. Word divergence of clean ones from 200 words on is under 0.06; the limit is 0.1.
 
-Defined results: a null text is an empty one and fails; a null language is a label like any other; a document
-whose own label has no reference is judged by the base rules alone, never by another language's words; rows with null or repeated ids keep their rows; other columns are ignored.
+Defined results: a null text is an empty one and fails; a null language is a label like any other; rows with null or repeated ids keep
+their rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +52,7 @@ class Limits:
     class_divergence: float = 0.015
     word_divergence: float = 0.1
     word_guard: int = 200
-    min_docs: int = 20
-    min_share: float = 0.01
+    prior: int = 20
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -104,30 +106,36 @@ def _emit_measures(limits: Limits):
 
 
 def _fixed(label: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of classes and of words."""
     classes, listed = FIXED[label]
     pairs = listed.split()
     share = dict(zip(pairs[::2], map(float, pairs[1::2]), strict=True))
     common = [share.get(w, 0.0) for w in COMMON]
-    return np.array(classes), np.array([*common, 10000 - sum(common)])
+    return np.array(classes) / sum(classes), np.array([*common, 10000 - sum(common)]) / 10000
+
+
+def _blended(found: dict, part: int, prior: int) -> dict:
+    """found: documents and shares by label; with the fixed ones."""
+    out = {x: row / max(row.sum(), 1e-300) for x, (_, row) in found.items()}
+    for x in FIXED:
+        n = found[x][0] if x in found else 0
+        out[x] = (n * out.get(x, 0.0) + prior * _fixed(x)[part]) / (n + prior)
+    return out
 
 
 class References:
-    """Histograms by language label. Those of the labels in shared serve all rows, the others the rows of their label."""
+    """Histograms by language label: those of the fixed languages serve all rows, the others the rows of their label."""
 
-    def __init__(self, by_label: dict, shared: set):
-        self.by_label, self.shared = by_label, shared
+    def __init__(self, by_label: dict):
+        self.by_label = by_label
 
-    def nearest(self, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's divergence from the nearest, and whether its own label has one."""
-        out = _nearest(rows, [r for x, r in self.by_label.items() if x in self.shared])
-        some, known = bool(self.shared & self.by_label.keys()), np.zeros(len(rows), bool)
-        for label in set(labels) & self.by_label.keys():
+    def nearest(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Each row's divergence from the nearest."""
+        out = _nearest(rows, [self.by_label[x] for x in FIXED])
+        for label in set(labels) & self.by_label.keys() - FIXED.keys():
             hit = labels == label
-            known |= hit
-            if label not in self.shared:
-                own = divergence(rows[hit], self.by_label[label])
-                out[hit] = np.minimum(out[hit], own) if some else own
-        return out, known
+            out[hit] = np.minimum(out[hit], divergence(rows[hit], self.by_label[label]))
+        return out
 
 
 def _labels(column: pa.Array) -> np.ndarray:
@@ -139,29 +147,24 @@ def _labels(column: pa.Array) -> np.ndarray:
 def _verdict(limits: Limits, classes: References, common: References):
     def run(m: dict[str, np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, ...]:
         base = _failed(m, limits)
-        a, own_classes = classes.nearest(m["classes"], labels)
-        b, own_words = common.nearest(m["common"], labels)
-        strange = own_classes & (a > limits.class_divergence) | own_words & (m["n_words"] >= limits.word_guard) & (b > limits.word_divergence)
+        a, b = classes.nearest(m["classes"], labels), common.nearest(m["common"], labels)
+        strange = (a > limits.class_divergence) | (m["n_words"] >= limits.word_guard) & (b > limits.word_divergence)
         return base, a, b, ~base & ~strange
 
     return run
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[References, References]:
-    """Class and word histograms, one of each per language label with enough documents, and the fixed ones of other labels."""
+    """Class and word histograms, one of each per language label, of documents that pass the base rules. Labels are few."""
     kind = dict(docs.dtypes)["lang"]
     texts = only(docs, "text", "lang").withColumn("text", F.col("text").cast("binary"))
     measured = texts.mapInArrow(lean(_emit_measures(limits)), f"lang {kind}, sound boolean, classes array<int>, common array<int>").filter("sound")
     measured = materialize(measured, "measures")
     total = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     medians = [F.percentile_approx(F.col("classes")[i] / total, 0.5, 1000) for i in range(len(GROUPS))]
-    n = measured.count()
-    found = measured.groupBy("lang").agg(F.count("*").alias("n"), F.array(*medians).alias("m")).filter(F.col("n") >= limits.min_docs).collect()
-    found = sorted(found, key=lambda r: str(r["lang"]))
-    fixed = {x: _fixed(x) for x in FIXED if x not in {r["lang"] for r in found}}
-    shared = {*fixed, *(r["lang"] for r in found if r["n"] >= limits.min_share * n)}
-    classes = References({r["lang"]: np.array(r["m"], float) for r in found} | {x: r[0] for x, r in fixed.items()}, shared)
-    near = lambda rows, labels: classes.nearest(rows, labels)[0] <= limits.class_divergence
+    found = measured.groupBy("lang").agg(F.count("*").alias("n"), F.array(*medians).alias("m")).collect()
+    classes = References(_blended({r["lang"]: (r["n"], np.array(r["m"], float)) for r in found}, 0, limits.prior))
+    near = lambda rows, labels: classes.nearest(rows, labels) <= limits.class_divergence
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per task and label, one row of sums."""
@@ -180,8 +183,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[References,
 
     partial = measured.mapInArrow(lean(summed), f"lang {kind}, n long, common array<long>")
     cells = partial.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("common")[i]) for i in range(len(COMMON) + 1)]).alias("common"))
-    summed_ = {r["lang"]: np.array(r["common"], float) for r in cells.collect() if r["lang"] in classes.by_label and r["lang"] not in fixed}
-    return classes, References(summed_ | {x: r[1] for x, r in fixed.items()}, shared)
+    return classes, References(_blended({r["lang"]: (r["n"], np.array(r["common"], float)) for r in cells.collect()}, 1, limits.prior))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

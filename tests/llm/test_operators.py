@@ -606,6 +606,69 @@ def test_junk_is_rejected(spark, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def verdicts(rows):
+    """The references and the verdict of every row, one text at a time."""
+    groups = [(lambda c: c.isascii() and (c.islower() or c.isdigit()) or ord(c) >= 0x80), (lambda c: c.isascii() and c.isupper()), lambda c: c in " \t\v\f\r\n", None, lambda c: c == "!", lambda c: c in "#*$%&|<>"]
+    common = list(quality_rules.COMMON)
+
+    def classes(t):
+        out = [0.0] * 6
+        for c in t:
+            out[next((k for k, f in enumerate(groups) if f and f(c)), 3)] += 1
+        return [x / sum(out) for x in out]
+
+    def shares(counts):
+        return [x / max(sum(counts), 1) for x in counts]
+
+    def js(a, b):
+        return sum(x * np.log2(2 * x / (x + y)) / 2 + (y * np.log2(2 * y / (x + y)) / 2 if y else 0) if x else (y / 2 if y else 0) for x, y in zip(a, b, strict=True))
+
+    def fixed(label):
+        shown, listed = quality_rules.FIXED[label]
+        given = dict(zip(listed.split()[::2], map(float, listed.split()[1::2]), strict=True))
+        words = [given.get(w, 0) for w in common]
+        return shares(shown), [x / 10000 for x in [*words, 10000 - sum(words)]]
+
+    def blend(own, part):
+        out = {x: row for x, (_, row) in own.items()}
+        for x in quality_rules.FIXED:
+            n, row = own.get(x, (0, fixed(x)[part]))
+            out[x] = [(n * a + 20 * b) / (n + 20) for a, b in zip(row, fixed(x)[part], strict=True)]
+        return out
+
+    def least(row, label, refs):
+        return min(js(row, r) for x, r in refs.items() if x in quality_rules.FIXED or x == label)
+
+    seen = []
+    for _, t, label in rows:
+        words = WORD.findall(t or "")
+        counts = Counter(w for w in words if w in common)
+        seen.append((base(t)[-1], label, classes(t) if t else None, [*(counts[w] for w in common), len(words) - sum(counts.values())], len(words)))
+    sound = [x for x in seen if not x[0]]
+    by_label = {lab: [x for x in sound if x[1] == lab] for lab in {x[1] for x in sound}}
+    one = blend({lab: (len(v), shares([sorted(x[2][k] for x in v)[-(-len(v) // 2) - 1] for k in range(6)])) for lab, v in by_label.items()}, 0)
+    near = {lab: [x for x in v if least(x[2], lab, one) <= 0.015] for lab, v in by_label.items()}
+    two = blend({lab: (len(v), shares([sum(x[3][k] for x in v) for k in range(len(common) + 1)])) for lab, v in near.items() if v}, 1)
+    return [not failed and least(row, lab, one) <= 0.015 and (n < 200 or least(shares(words), lab, two) <= 0.1) for failed, lab, row, words, n in seen]
+
+
+def test_verdicts_by_hand(spark):
+    """Labels with many documents, few, one and none known; junk of several kinds; a null label."""
+    common = {"en": "the of and to in is it that for was", "de": "der die das und ist ein eine zu den von", "it": "il di che non per una sono con come del"}
+
+    def say(label, seed, n):
+        rng, words = random.Random(seed), common[label].split()
+        text = [rng.choice(words) if k % 3 else rng.choice(WORDS) for k in range(n)]
+        return " ".join(w.capitalize() + ("" if k % 9 else "") if k % 9 == 0 else w + ("." if k % 9 == 8 else "") for k, w in enumerate(text))
+
+    rows = [(i, say("en", i, 60 + 5 * i), "en") for i in range(60)] + [(100 + i, say("it", i, 250), "it") for i in range(3)] + [(200, say("it", 9, 260), None), (201, say("de", 3, 240), "xx")]
+    rows += [(300 + i, say("en", 900 + i, 220).upper(), "en") for i in range(4)] + [(400 + i, say("en", 950 + i, 220).replace(" ", " # "), "it") for i in range(2)]
+    rows += [(500 + i, " ".join(random.Random(i).choices(WORDS, k=300)), "en") for i in range(3)] + [(600, None, "en"), (601, "", None), (602, "a b " * 90, "en")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(table(spark, rows)).collect()}
+    want = dict(zip([r[0] for r in rows], verdicts(rows), strict=True))
+    assert got == want and all(got[i] for i in (*range(100, 103), 200)) and not any(got[300 + i] for i in range(4))
+
+
 def test_divergence_against_formula():
     p, q = np.array([[3.0, 1, 0], [0, 0, 5], [0, 0, 0]]), np.array([1.0, 1, 2])
 
