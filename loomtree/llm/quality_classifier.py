@@ -3,7 +3,8 @@
 Each text becomes some twenty statistics (shares of character classes, lengths, repetition), standardised by the table's means and
 deviations. cos(x W + b) with W normal approximates a Gaussian kernel, so ridge regression on these features is kernel ridge
 regression at a fixed cost. Tasks sum their rows' normal equations, sums are added up in a shuffle, and the driver solves one system
-of `features` unknowns, whatever the input. Two folds score each other for calibration: their scores, counted in bins, are made
+of `features` unknowns, whatever the input. It is fit on about `most` labelled rows if there are more, drawn by the ids' hashes, so that
+what the tasks send doesn't grow with the input. Two folds score each other for calibration: their scores, counted in bins, are made
 monotone by pooling adjacent violators; the model that scores is fit on both. A thousandth of the raw score breaks the calibrated
 score's ties.
 
@@ -100,8 +101,8 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["fold", "i", "row"])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", features: int = 256, width: float = 1.0, ridge: float = 0.1, seed: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and the named column of 0 and 1."""
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", features: int = 256, width: float = 1.0, ridge: float = 0.1, seed: int = 5, most: int = 2_000_000) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and the named column of 0 and 1. most: labelled rows to fit on."""
     kind = dict(docs.dtypes)["doc_id"]
     texts = only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
     found = materialize(texts.mapInArrow(lean(_emit), f"doc_id {kind}, x array<double>"), "statistics")
@@ -113,6 +114,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     truth = labels.select(F.col("doc_id").alias("labelled"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL AND labelled IS NOT NULL")
     train = found.join(truth.withColumn("fold", F.pmod(F.crc32(F.col("labelled").cast("string")), F.lit(3)).cast("int")).filter("fold <> 1"), F.col("doc_id") == F.col("labelled")).select("fold", "x", "y")
     train = materialize(train, "train")
+    if (n := train.count()) > most:
+        train = train.filter(F.pmod(F.xxhash64("x"), F.lit(-(-n // most))) == 0)
+    train = train.coalesce(1 + min(n, most) // 20_000)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}

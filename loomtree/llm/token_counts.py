@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, lean, shared_folder, whole_texts
+from .common import binary, blocks, lean, materialize, shared_folder, small, whole_texts
 
 WORDS = 400_000
 CACHE = "version string, digest binary, n_tokens long"
@@ -108,12 +107,12 @@ def _encode(path: str, white_space_splits: bool):
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, white_space_splits: bool = False) -> DataFrame:
     """doc_id, n_bytes, digest (of the normalised content) and n_tokens of every row of docs.
 
-    path: a tokenizer file, .json or .model, that every machine has there. cache: a folder that all machines share; by default a new
-    one in the session's shared folder. white_space_splits: only for tokenizers that drop white space and never join what it separates.
+    path: a tokenizer file, .json or .model, that every machine has there. cache: a folder that all machines share; by default one in the
+    session's shared folder that is named after the tokenizer's version, so later calls find it. white_space_splits: only for tokenizers that drop white space and never join what it separates.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
     known = version(path, white_space_splits)
+    cache = cache or f"{shared_folder(spark)}/token-cache-{known[:16]}"
     text = F.coalesce(docs["text"], F.lit(""))
     content = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if white_space_splits else text
     keyed = whole_texts(docs).select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content"))
@@ -133,4 +132,6 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, white_spa
     misses = rows.join(before.select("digest"), "digest", "left_anti").repartition("digest")
     new = misses.mapInArrow(lean(_encode(path, white_space_splits)), "digest binary, n_tokens long")
     new.select(F.lit(known).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return keyed.select("doc_id", "n_bytes", "digest").join(stored(), "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
+    # Written first, so that the join's two sides are plain and a content that many rows share can be split.
+    counts = small(materialize(stored(), "counts"), 200_000)
+    return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "digest", "n_tokens")

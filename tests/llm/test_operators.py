@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -293,6 +294,28 @@ def test_cache_is_used(spark, tmp_path):
     assert got[4] == 77 and got[6] == 2 and spark.read.parquet(cache).count() == 4
 
 
+def test_sentence_pieces(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    got = token_counts.token_counts(docs, path("piece_bpe_32k.model")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(model.encode(t or ""))) for i, t in corpus())
+
+
+def test_default_cache_is_found_again(spark, monkeypatch):
+    """The second call encodes nothing."""
+    df, file = table(spark, [(1, "cached once"), (2, "cached once"), (3, "and twice")]), path("word_bpe_49k.json")
+    first = sorted(map(str, token_counts.token_counts(df, file, white_space_splits=True).collect()))
+
+    def broken(batches):
+        for batch in batches:
+            assert not len(batch)
+            yield from ()
+
+    monkeypatch.setattr(token_counts, "_encode", lambda *a: broken)
+    assert sorted(map(str, token_counts.token_counts(df, file, white_space_splits=True).collect())) == first
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40) | st.text(alphabet="a' s<|>endoftx\x1c\x85\xa0́Σİ", max_size=40))
 def test_words_add_up(text):
@@ -353,6 +376,15 @@ def test_fast_encoder_gives_the_library_s_ids(text):
     assert packing._encoder(path("byte_bpe_50k.json"))([text]) == [tok.encode(text, add_special_tokens=False).ids]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_fast_encoder_on_whole_documents(spark):
+    """Every whole text of a table gets the ids that the library of the file gives."""
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tok.no_truncation()
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert packing._encoder(path("byte_bpe_50k.json"))(texts) == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 # 2. Fingerprints.
 
 
@@ -373,6 +405,77 @@ def test_fingerprints_and_neighbours(spark, docs, empty):
     assert piecewise_hash.fingerprint(docs).count() == docs.count()
 
 
+M = 2**64 - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & M
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & M
+    return x ^ x >> 33
+
+
+def fingerprint_by_hand(t):
+    """Byte by byte: a boundary where the hash of the last seven bytes, zeros before the text, is size - 1 modulo size."""
+    from loomtree.llm.common import _byte_values
+
+    value, letters = [int(v) for v in _byte_values()], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    padded = bytes(7) + t
+    roll = [mixed(sum((padded[p + 7 - i] + 1) * (0x9E3779B97F4A7C15 * (2 * i + 3)) for i in range(7)) & M) >> 20 for p in range(len(t))]
+
+    def signature(size):
+        out, chunk = "", []
+        for p, b in enumerate(t):
+            chunk.append(b)
+            if roll[p] % size == size - 1 or p == len(t) - 1:
+                h = sum(value[c] * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(chunk)) + len(chunk) & M
+                out, chunk = out + letters[mixed(h) >> 58], []
+        return out
+
+    size = 3
+    while size * 64 < len(t):
+        size *= 2
+    while len(signature(size)) > 256:
+        size *= 2
+    return f"{size}:{signature(size)}:{signature(2 * size)}"
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    (n, *x), (m, *y) = a.split(":"), b.split(":")
+    sign = {int(n): x[0], 2 * int(n): x[1]}, {int(m): y[0], 2 * int(m): y[1]}
+    found = [0.0]
+    for size in sign[0].keys() & sign[1].keys():
+        p, q = sign[0][size], sign[1][size]
+        longer = max(len(p), len(q))
+        grams = lambda s: {s[k : k + 4] for k in range(len(s) - 3)}
+        if p == q:
+            found.append(1.0)
+        elif longer <= 8 or grams(p) & grams(q):
+            found.append(1 - edit_distance(p, q) / longer)
+    return max(found)
+
+
+def test_fingerprints_by_hand(spark):
+    texts = [(t or "").encode() for _, t in corpus() if len(t or "") < 3000] + [b"ab" * 900, "é#".encode() * 300, changed(prose(300, 1), 0.05, 2).encode(), prose(300, 1).encode()]
+    got = piecewise_hash.fingerprints(texts)
+    assert got == [fingerprint_by_hand(t) for t in texts]
+    pairs = [(a, b) for k, a in enumerate(got) for b in got[k : k + 6]] + [(got[-1], got[-2])]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", piecewise_hash.likeness(F.col("x"), F.col("y")).alias("near"))
+    assert all(r.near == pytest.approx(likeness_by_hand(r.x, r.y)) for r in rows.collect())
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Nulls first, equal ids by a hash of the text; every row keeps its row, and each row's next is one with the next id."""
+    rows = [(None, prose(30, 1)), (None, prose(40, 2)), (5, prose(50, 3)), (5, prose(20, 4)), (5, prose(20, 4)), (7, None), (8, prose(60, 5))]
+    got = piecewise_hash.with_edited_neighbours(table(spark, rows), 3).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t or "")) for i, t in rows)
+    prints = {t or "": fingerprint_by_hand((t or "").encode()) for _, t in rows}
+    follow = {r.fingerprint: r.next_fingerprint for r in got if r.doc_id in (7, 8)}
+    assert follow[prints[""]] == prints[rows[-1][1]] and follow[prints[rows[-1][1]]] in (prints[rows[0][1]], prints[rows[1][1]])
+    assert sorted(r.fingerprint for r in got) == sorted(r.next_fingerprint for r in got)
+
+
 def test_fingerprint_alone_or_in_company():
     texts = [t.encode() for _, t in corpus() if t]
     assert piecewise_hash.fingerprints(texts) == [piecewise_hash.fingerprints([t])[0] for t in texts]
@@ -568,6 +671,49 @@ def test_rules_and_aliases(spark, empty):
     assert url_rules.judge_urls(df.limit(0)).count() == 0
 
 
+def test_aliases_by_hand(spark):
+    """Chains of redirects and canonical links, relative ones with dot segments, loops, many links to one page, and links to pages that
+    are not in the table, against urljoin and a plain search."""
+    from urllib.parse import urljoin, urlsplit
+
+    rng = random.Random(6)
+    hosts = ["a.org", "b.com", "c.net", "example.com", "d.fr"]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['fr', 'es', 'en', 'de'])}/{i % 9}/p{i}" for i in range(120)]
+    hrefs = {i: rng.choice([rng.choice(urls), f"../{rng.randint(0, 8)}/./p{rng.randrange(120)}", f"/es/{i}/..", f"//b.com/fr/{rng.randrange(9)}/p{i}", "x/../y?q=../z#f"]) for i in range(0, 120, 3)}
+    hrefs |= {i: urls[i + 3] for i in range(1, 90, 3)}  # a chain
+    rows = []
+    for i, u in enumerate(urls):
+        tag = f'<link rel="canonical" href="{hrefs.get(i)}">' if i % 2 else f"<meta http-equiv=refresh content='1;url={hrefs.get(i)}'>"
+        rows.append((i, u, tag if i in hrefs else "<p>text</p>" * (1 if i != 7 else 50_000)))
+
+    def node(u):
+        p = urlsplit(u)
+        return p.netloc.lower() + (p.path or "/") + (f"?{p.query}" if p.query else "")
+
+    def rule(u):
+        p = urlsplit(u)
+        fits = [(len(h + q), h + q, a) for a, h, q in url_rules.RULES if (p.netloc == h or p.netloc.endswith("." + h)) and p.path.startswith(q)]
+        return max(fits)[1:] if fits else (None, None)
+
+    near, known = defaultdict(set), {}
+    for i, u in enumerate(urls):
+        to = urljoin(u, hrefs[i]) if i in hrefs else u
+        for x in (u, to):
+            known[node(x)] = rule(x)[1]
+        near[node(u)].add(node(to))
+        near[node(to)].add(node(u))
+
+    def reach(x):
+        seen, left = {x}, [x]
+        while left:
+            left += [y for y in near[left.pop()] if y not in seen and not seen.add(y)]
+        return seen
+
+    want = {i: (rule(u)[0], rule(u)[1] or ("block" if any(known[x] == "block" for x in reach(node(u))) else "allow")) for i, u in enumerate(urls)}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len({v for v in want.values() if v[0] is None}) == 2
+
+
 # 7. Rules.
 
 
@@ -712,6 +858,48 @@ def test_classifier(spark, empty):
     assert quality_classifier.score_documents(empty, labels).count() == 0
 
 
+def test_whole_fit_by_hand(spark):
+    """Scores from one matrix of all rows, in place of sums by task."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng.randint(5, 80), i) if i % 2 else prose(rng.randint(5, 80), i).upper().replace(" ", " | ")) for i in range(240)] + [(900, None), (901, "")]
+    labels = [(i, int(i % 2 != (i % 17 == 0))) for i in range(200)]
+    got = {r.doc_id: r for r in quality_classifier.score_documents(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), features=32).collect()}
+    raw = [(t or "").encode() for _, t in rows]
+    x = np.vstack([quality_classifier.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in raw])
+    mean, scale = x.mean(0), x.std(0)
+    w = np.random.Generator(np.random.PCG64(5))
+    weights, shift = w.normal(size=(x.shape[1], 32)) / np.sqrt(x.shape[1]), w.uniform(0, 2 * np.pi, 32)
+    z = np.hstack([np.cos(np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -8, 8) @ weights + shift) / 4, np.ones((len(x), 1))])
+    third = lambda i: zlib.crc32(str(i).encode()) % 3
+    learnt = [(i, y) for i, y in labels if third(i) != 1]
+
+    def fit(pairs):
+        a, y = z[[i for i, _ in pairs]], np.array([y for _, y in pairs])
+        return np.linalg.solve(a.T @ a + np.diag([0.1] * 32 + [1e-6]), a.T @ y)
+
+    cross = {f: fit([p for p in learnt if third(p[0]) != f]) for f in (0, 2)}
+    bin_ = lambda r: int(min(max((r + 1) / 3 * 2000, 0), 1999))
+    bins = defaultdict(list)
+    for i, y in learnt:
+        bins[bin_(z[i] @ cross[third(i)])].append(y)
+    at = sorted(bins)
+    # Isotonic means by the max-min formula.
+    total, n = [sum(bins[b]) for b in at], [len(bins[b]) for b in at]
+    means = [max(min(sum(total[a : c + 1]) / sum(n[a : c + 1]) for c in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    both = z @ fit(learnt)
+    for (i, _), r in zip(rows, both, strict=True):
+        want = 0.999 * np.interp(bin_(r), at, means) + 0.001 * min(max((r + 1) / 3, 0), 1)
+        assert got[i].score == pytest.approx(want, abs=2e-3) and got[i].held_out == (third(i) == 1)
+
+
+def test_fit_on_a_sample(spark):
+    """With more labels than `most` a part of them is learnt from, and every row still has a score."""
+    rows = [(i, prose(40, i) if i % 2 else prose(40, i).upper()) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality_classifier.score_documents(table(spark, rows), labels, most=60).collect()
+    assert len(got) == 200 and sum(r.predicted == r.doc_id % 2 for r in got) > 190
+
+
 def test_isotonic():
     n, y = np.array([1.0, 0, 2, 1, 1]), np.array([1.0, 0, 0, 1, 0])
     got = quality_classifier.isotonic(n, y)
