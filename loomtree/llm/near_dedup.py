@@ -388,7 +388,7 @@ def _rarest(rows: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
     found = [label for *_, label in _tokens(part)]
     known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
     known, often = known[often > 1], often[often > 1]
-    rare = materialize(own.mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long, place long"), "rarest")
+    rare = materialize(own.repartition("rep").mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long, place long"), "rarest")
     classes = rows.select("rep", "class")
     mixed = rare.join(small(classes), "rep").groupBy("kind", "token").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).filter("c <> d")
     mixed = materialize(mixed.select("kind", "token", "n"), "mixed")
