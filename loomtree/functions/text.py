@@ -147,11 +147,8 @@ def to_ns(c: Column) -> Column:
 
 
 def _bytes(c: Column) -> Column:
-    """Byte values of a string."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    values = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(n > 0, values).otherwise(F.array().cast("array<long>"))
+    """Byte values of a string: pairs of hex digits, cut in one pass."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def times_hash(c: Column, factor: int, start: int) -> Column:

@@ -62,6 +62,12 @@ def query_tokens(queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> D
     return queries.select("query_id", F.explode(tokenizer(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
+def _asked_only(postings: DataFrame, asked: DataFrame, most: int = 1000) -> DataFrame:
+    """postings of the queries' tokens. Few tokens are a filter that reaches the scan, where a stored index skips what has none of them."""
+    tokens = [r["token"] for r in asked.select("token").distinct().limit(most + 1).collect()]
+    return postings.filter(F.col("token").isin(tokens)) if len(tokens) <= most else postings
+
+
 def _hint(asked: DataFrame, rows: int = 100_000):
     """broadcast, if the queries' tokens are that few; what has a row per token or query is then no larger. Else nothing, and the
     optimizer joins as sizes are."""
@@ -71,7 +77,7 @@ def _hint(asked: DataFrame, rows: int = 100_000):
 def search_and(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
     """query_id, node_id: documents with every token of the query."""
     asked = query_tokens(queries, tokenizer)
-    hint = _hint(asked)
+    postings, hint = _asked_only(postings, asked), _hint(asked)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     hits = postings.join(hint(asked), "token").groupBy("query_id", "node_id").agg(F.count("*").alias("found"))
     return hits.join(hint(need), "query_id").filter("found = need").select("query_id", "node_id")
@@ -79,7 +85,7 @@ def search_and(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = i
 
 def search_or(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
     asked = query_tokens(queries, tokenizer)
-    return postings.join(_hint(asked)(asked), "token").select("query_id", "node_id").distinct()
+    return _asked_only(postings, asked).join(_hint(asked)(asked), "token").select("query_id", "node_id").distinct()
 
 
 def contains_any(postings: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h) -> DataFrame:
@@ -99,7 +105,7 @@ def bm25(tf: Column, length: Column, average: Column, idf_: Column, k1: float =
 def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, tokenizer: Tokenizer = index_tokens_h, profile: Profile = H, all_tokens: bool = False) -> DataFrame:
     """query_id, node_id, score: sums over query tokens, a repeated one counting repeatedly. all_tokens: only documents with all of them."""
     asked = query_tokens(queries, tokenizer)
-    hint = _hint(asked)
+    postings, hint = _asked_only(postings, asked), _hint(asked)
     matched = postings.join(hint(asked), "token")
     # A token's frequency counts all its documents, whatever is filtered later.
     frequency = postings.join(hint(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))

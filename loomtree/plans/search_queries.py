@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import embedders, vectors
 from ..operators import fulltext, knn, ranking
-from ..profile import E, H
+from ..profile import DIM, E, H
+from ..sources import index
 from . import sql
 from .registry import query, table
 
@@ -30,9 +31,13 @@ def vecs(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 4).cast("int").alias("level"), "embedding")
 
 
+def index_of(spark, sf):
+    """postings and lengths, kept on disk, as an index is."""
+    return index.stored(spark, f"{sf}/documents.parquet", lambda: docs(spark, sf))
+
+
 def postings_of(spark, sf):
-    """Kept, as an index is: a query reads it for matches, frequencies and lengths."""
-    return fulltext.build_postings(docs(spark, sf)).persist()
+    return index_of(spark, sf)[0]
 
 
 def asked(spark, *queries):
@@ -78,20 +83,20 @@ _QT = "tion stion tion erne"
 
 @query(P + sql.bm25(_QT) + " SELECT node_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores ORDER BY score DESC, node_id LIMIT 10")
 def bm25_topk(spark, sf):
-    p = postings_of(spark, sf)
-    return fulltext.bm25_top(p, fulltext.doc_stats(p), asked(spark, _QT), 10).select("node_id", F.round("score", 6).alias("score"))
+    p, lengths = index_of(spark, sf)
+    return fulltext.bm25_top(p, lengths, asked(spark, _QT), 10).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query(P + sql.bm25("tion st", all_tokens=True) + " SELECT node_id, round(score, 6) AS score FROM scores ORDER BY score DESC, node_id LIMIT 10")
 def bm25_and(spark, sf):
-    p = postings_of(spark, sf)
-    return fulltext.bm25_top(p, fulltext.doc_stats(p), asked(spark, "tion st"), 10, normalise=False, all_tokens=True).select("node_id", F.round("score", 6).alias("score"))
+    p, lengths = index_of(spark, sf)
+    return fulltext.bm25_top(p, lengths, asked(spark, "tion st"), 10, normalise=False, all_tokens=True).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query(P + sql.bm25(_QT) + " SELECT node_id, round(score, 6) AS score FROM scores")
 def bm25_unnormalised(spark, sf):
-    p = postings_of(spark, sf)
-    return fulltext.bm25_scores(p, fulltext.doc_stats(p), asked(spark, _QT)).select("node_id", F.round("score", 6).alias("score"))
+    p, lengths = index_of(spark, sf)
+    return fulltext.bm25_scores(p, lengths, asked(spark, _QT)).select("node_id", F.round("score", 6).alias("score"))
 
 
 _MANY = ("tion st", "ing", "ed re", "la de", "der ung")
@@ -100,8 +105,8 @@ _MANY_SQL = "\nUNION ALL\n".join(f"SELECT {i} AS query_id, node_id, rank FROM (W
 
 @query(f"WITH {sql.POSTINGS} {_MANY_SQL}")
 def bm25_many_queries(spark, sf):
-    p = postings_of(spark, sf)
-    return fulltext.bm25_top(p, fulltext.doc_stats(p), asked(spark, *_MANY), 5).select("query_id", "node_id", F.col("rank").cast("long").alias("rank"))
+    p, lengths = index_of(spark, sf)
+    return fulltext.bm25_top(p, lengths, asked(spark, *_MANY), 5).select("query_id", "node_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(P + "x AS (SELECT 1) SELECT token, node_id, tf FROM postings WHERE node_id % 10 <> 3")
@@ -176,7 +181,7 @@ def vector_stats(spark, sf):
 
 _POOL = f"""WITH {sql.NODES}, v AS (SELECT n.parent_id, unnest(e.embedding::DOUBLE[]) AS x, generate_subscripts(e.embedding, 1) AS i FROM nodes n JOIN embeddings e ON e.vec_id = n.node_id WHERE n.parent_id IS NOT NULL),
 a AS (SELECT parent_id, i, avg(x) AS m FROM v GROUP BY ALL), l AS (SELECT parent_id, sqrt(sum(m * m)) AS l FROM a GROUP BY ALL)
-SELECT parent_id AS node_id, i - 1 AS i, round(m / l, 5) AS x FROM a JOIN l USING (parent_id) WHERE i <= 4"""
+SELECT parent_id AS node_id, i - 1 AS i, round((m / l)::FLOAT::DOUBLE, 5) AS x FROM a JOIN l USING (parent_id)"""
 
 
 @query(_POOL)
@@ -184,18 +189,26 @@ def pool_children(spark, sf):
     from .tree_queries import nodes_of
 
     pooled = knn.pool_children(nodes_of(spark, sf), vecs(spark, sf))
-    rows = pooled.select("node_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
+    rows = pooled.select("node_id", F.posexplode("embedding").alias("i", "x"))
     return rows.select("node_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query()
+_UP_SQL = """{0}v AS (SELECT n.parent_id AS node_id, unnest(c.e) AS x, generate_subscripts(c.e, 1) AS i FROM {0}c c JOIN nodes n USING (node_id) WHERE n.parent_id IS NOT NULL),
+{0}m AS (SELECT node_id, i, avg(x) AS m FROM {0}v GROUP BY ALL), {0}l AS (SELECT node_id, sqrt(sum(m * m)) AS l FROM {0}m GROUP BY ALL),
+{1}c AS (SELECT node_id, list((m / l)::FLOAT::DOUBLE ORDER BY i) AS e FROM {0}m JOIN {0}l USING (node_id) GROUP BY node_id)"""
+
+
+@query(f"""WITH {sql.NODES}, sc AS (SELECT e.vec_id AS node_id, e.embedding::DOUBLE[] AS e FROM embeddings e JOIN nodes n ON n.node_id = e.vec_id WHERE n.level = 0),
+{_UP_SQL.format("s", "b")}, {_UP_SQL.format("b", "m")}, {_UP_SQL.format("m", "r")},
+every AS (SELECT 0 AS level, * FROM sc UNION ALL SELECT 1, * FROM bc UNION ALL SELECT 2, * FROM mc UNION ALL SELECT 3, * FROM rc)
+SELECT node_id, level, generate_subscripts(e, 1) - 1 AS i, round(unnest(e), 4) AS x FROM every""")
 def pool_session(spark, sf):
     from .tree_queries import nodes_of
 
-    nodes = nodes_of(spark, sf).cache()
+    nodes = nodes_of(spark, sf)
     statements = nodes.filter("level = 0").join(vecs(spark, sf).select("node_id", "embedding"), "node_id").select("node_id", "embedding")
-    pooled = knn.pool_sessions(nodes, statements)
-    return pooled.select("node_id", "level", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
+    pooled = knn.pool_sessions(nodes.select("node_id", "parent_id"), statements)
+    return pooled.select("node_id", "level", F.posexplode("embedding").alias("i", "x")).select("node_id", "level", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query()
@@ -204,18 +217,21 @@ def stub_embed_h(spark, sf):
     return v.select("doc_id", F.posexplode("v").alias("i", "x")).select("doc_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("""WITH b AS (SELECT doc_id, left(coalesce(text, ''), 20) AS t FROM documents),
-h AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, CASE WHEN strlen(t) = 0 THEN []::BIGINT[] ELSE list_transform(range(1, strlen(t)::BIGINT + 1), lambda i: ('0x' || substr(hex(encode(t)), (2 * i - 1)::BIGINT, 2))::BIGINT) END), lambda h, x: (h * 31 + x) & 4294967295) AS h FROM b),
-s AS (SELECT doc_id, 1 AS i, (h * 1103515245 + 12345) & 4294967295 AS h FROM h),
-r AS (SELECT doc_id, h AS h1, (h * 1103515245 + 12345) & 4294967295 AS h2 FROM s),
-r4 AS (SELECT doc_id, h1, h2, (h2 * 1103515245 + 12345) & 4294967295 AS h3 FROM r),
-x AS (SELECT doc_id, unnest([h1, h2, h3]) AS h, generate_subscripts([h1, h2, h3], 1) - 1 AS i FROM r4),
-y AS (SELECT doc_id, i, (h & 2147483647) / 2147483647.0::DOUBLE - 0.5 AS x FROM x), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM y GROUP BY doc_id)
-SELECT doc_id, i, round(x / n, 4) AS x FROM y JOIN n USING (doc_id)""")
+def _steps(n: int) -> str:
+    """i, and what i + 1 steps of h -> 1103515245 h + 12345 modulo 2**32 multiply by and add."""
+    a, c, rows = 1, 0, []
+    for i in range(n):
+        a, c = a * 1103515245 % 2**32, (c * 1103515245 + 12345) % 2**32
+        rows.append(f"({i}, {a}, {c})")
+    return ", ".join(rows)
+
+
+@query(f"""WITH h AS (SELECT doc_id, {sql.times_hash("coalesce(text, '')", 31, 0)} AS h FROM documents), steps(i, a, c) AS (VALUES {_steps(DIM)}),
+x AS (SELECT doc_id, i, ((((h::UBIGINT * a::UBIGINT + c::UBIGINT) % 4294967296) & 2147483647) / 2147483647.0::DOUBLE) - 0.5 AS x FROM h, steps), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM x GROUP BY doc_id)
+SELECT doc_id, i, round(x / n, 4) AS x FROM x JOIN n USING (doc_id)""")
 def stub_embed_e(spark, sf):
-    text = F.left(F.coalesce("text", F.lit("")), F.lit(20))
-    v = table(spark, sf, "documents").select("doc_id", embedders.embed(text, "stub_e", 3).alias("v"))
-    return v.select("doc_id", F.posexplode("v").alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))
+    v = table(spark, sf, "documents").select("doc_id", embedders.embed(F.coalesce("text", F.lit("")), "stub_e").alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("i", "x")).select("doc_id", F.col("i").cast("int").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 # Hybrid ranking.
@@ -245,7 +261,8 @@ def _shown(df):
 
 
 def _index(spark, sf):
-    return ranking.HybridIndex(docs(spark, sf), postings_of(spark, sf), vecs(spark, sf))
+    p, lengths = index_of(spark, sf)
+    return ranking.HybridIndex(docs(spark, sf), p, vecs(spark, sf), lengths)
 
 
 @query(f"WITH {_hybrid_sql(2 * K)} SELECT {_OUT} FROM ranked ORDER BY ranked.combined DESC, node_id LIMIT {K}")
@@ -305,12 +322,26 @@ def exact_only(spark, sf):
     return _index(spark, sf).keyword(_QT, 8, normalise=False).select("node_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _hybrid_many_sql(k: int) -> str:
+    """Vectors 0 to 4 with a text each, as one table of queries."""
+    texts = "\nUNION ALL\n".join(f"SELECT {i} AS query_id, node_id, score / max(score) OVER () AS exact FROM (WITH {sql.bm25(t, 'sc')} SELECT * FROM sc)" for i, t in enumerate(_MANY))
+    return f"""WITH {sql.POSTINGS}, {_N}, v AS (SELECT vec_id AS node_id, (vec_id % 4)::INT AS level, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT node_id AS query_id, e AS qe FROM v WHERE node_id < {len(_MANY)}),
+d0 AS (SELECT query_id, node_id, list_distance(e, qe) AS distance, row_number() OVER (PARTITION BY query_id, level ORDER BY list_distance(e, qe), node_id) AS r FROM v, qv),
+d AS (SELECT query_id, node_id, greatest(0, 1 - distance) AS semantic, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS r2 FROM d0 WHERE r <= {2 * k}),
+k0 AS ({texts}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, node_id) AS r FROM k0),
+c AS (SELECT query_id, node_id, coalesce(semantic, 0) AS semantic, coalesce(exact, 0) AS exact FROM (SELECT * FROM d WHERE r2 <= {2 * k}) FULL OUTER JOIN (SELECT * FROM k WHERE r <= {2 * k}) USING (query_id, node_id)),
+scored AS (SELECT query_id, node_id, CASE WHEN semantic > 0 AND exact > 0 THEN 0.7 * semantic + 0.3 * exact WHEN semantic > 0 THEN semantic ELSE exact END AS relevance, 1 / (1 + (1706745600 - created) / 86400.0::DOUBLE) AS recency, [1.0, 0.6, 0.3, 0.0][level + 1]::DOUBLE AS boost FROM c JOIN n USING (node_id)),
+ranked AS (SELECT query_id, node_id, 0.6 * relevance + 0.3 * recency + 0.1 * boost AS combined FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, node_id) AS rank FROM ranked)
+SELECT query_id, node_id, round(combined, 6) AS combined, rank FROM placed WHERE rank <= {k}"""
+
+
+@query(_hybrid_many_sql(5))
 def hybrid_many_queries(spark, sf):
-    v, p = vecs(spark, sf), postings_of(spark, sf)
+    v, (p, lengths) = vecs(spark, sf), index_of(spark, sf)
     vectors_ = v.filter("node_id < 5").select(F.col("node_id").cast("int").alias("query_id"), "embedding")
     queries = asked(spark, *_MANY).join(vectors_, "query_id")
-    return ranking.hybrid_many(docs(spark, sf), p, fulltext.doc_stats(p), v, queries, 5, AS_OF, profile=H).select("query_id", "node_id", F.round("combined_score", 6).alias("combined"), "rank")
+    return ranking.hybrid_many(docs(spark, sf), p, lengths, v, queries, 5, AS_OF, profile=H).select("query_id", "node_id", F.round("combined_score", 6).alias("combined"), "rank")
 
 
 CANDIDATES = [(i, i % 4, 0.9 - 0.1 * i, 0.2 * i, datetime(2024, 1, 31 - i), "x" * (10 * i)) for i in range(6)]

@@ -75,3 +75,8 @@ def values(rows: tuple, names: str) -> str:
     """SELECT of literal rows; None is NULL."""
     text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
+
+
+def times_hash(text: str, factor: int, start: int) -> str:
+    """hash * factor + byte over a text's bytes, modulo 2**32."""
+    return f"list_reduce(list_prepend({start}::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda h, x: (h * {factor} + x) & 4294967295)"

@@ -159,9 +159,10 @@ def parse_profile_e(spark, sf):
     return parsing.exploded(rows, profile="E").select("id", "block_ix", "block_type", "lang", "block", "stmt_ix", "stmt_type", "statement")
 
 
-@query("""WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, list_reduce(list_prepend(0::BIGINT, CASE WHEN strlen(left(t, 20)) = 0 THEN []::BIGINT[] ELSE list_transform(range(1, strlen(left(t, 20))::BIGINT + 1), lambda i: ('0x' || substr(hex(encode(left(t, 20))), (2 * i - 1)::BIGINT, 2))::BIGINT) END), lambda h, x: (h * 31 + x) & 4294967295) AS h31,
-list_reduce(list_prepend(5381::BIGINT, CASE WHEN strlen(left(t, 20)) = 0 THEN []::BIGINT[] ELSE list_transform(range(1, strlen(left(t, 20))::BIGINT + 1), lambda i: ('0x' || substr(hex(encode(left(t, 20))), (2 * i - 1)::BIGINT, 2))::BIGINT) END), lambda h, x: (h * 33 + x) & 4294967295) AS djb2 FROM b""")
+_TEXT = "coalesce(text, '')"
+
+
+@query(f"SELECT doc_id, {sql.times_hash(_TEXT, 31, 0)} AS h31, {sql.times_hash(_TEXT, 33, 5381)} AS djb2 FROM documents")
 def text_hashes(spark, sf):
-    start = F.left(F.coalesce("text", F.lit("")), F.lit(20))
-    return table(spark, sf, "documents").select("doc_id", T.times_hash(start, 31, 0).alias("h31"), T.djb2(start).alias("djb2"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", T.times_hash(text, 31, 0).alias("h31"), T.djb2(text).alias("djb2"))

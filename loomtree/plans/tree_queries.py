@@ -154,9 +154,9 @@ def relation_stats(spark, sf):
     return tree.stats(nodes_of(spark, sf))
 
 
-@query(W + f"SELECT node_id, sequence FROM (SELECT node_id, (SELECT count(*) FROM nodes x WHERE x.node_id <= n.node_id) + (SELECT count(*) FROM m WHERE (m.conv_id, m.turn) <= (n.conv_id, n.turn)) - CASE WHEN level = 3 THEN 1 ELSE 0 END AS sequence FROM nodes n WHERE n.node_id <= 300)")
+@query(W + "SELECT n.node_id, n.node_id + r.before - CASE WHEN n.level = 3 THEN 1 ELSE 0 END AS sequence FROM nodes n JOIN (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS before FROM m) r USING (conv_id, turn)")
 def sequence_numbers(spark, sf):
-    return nodes_of(spark, sf).filter("node_id <= 300").select("node_id", F.col("sequence_num").alias("sequence"))
+    return nodes_of(spark, sf).select("node_id", F.col("sequence_num").alias("sequence"))
 
 
 @query("""SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey""")
