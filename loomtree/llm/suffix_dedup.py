@@ -289,7 +289,11 @@ def _emit_spans(depth: int, unit: str):
 
 
 def _emit_slices(depth: int, gram: int, unit: str, width: int):
-    """For hot grams: runs of at most `width` suffixes at equal distances from their gram, keyed by the tokens that all of these contain."""
+    """For hot grams: runs of at most `width` suffixes at equal distances from their gram, keyed by the tokens that all of these contain.
+
+    Where a run is met again in its own chunk, as in periodic texts, one stands for all; rows without a key then have their suffixes, those
+    of neighbours together, which are repeated.
+    """
     most = depth - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +312,21 @@ def _emit_slices(depth: int, gram: int, unit: str, width: int):
                 core = mix(span_hashes(h, begin[a], end[z - 1]) ^ mix(keys[rows[i] + lo] + part[i].astype(np.uint64)))
                 a, z = begin[starts[i]], end[starts[i] + n + depth - 2]
                 whole = span_hashes(h, a, z)
-                take = pa.array(rows[i] + lo)
-                start = np.asarray(batch.column("start").take(take)) + starts[i] - first[:-1][rows[i]]
-                chunks = pa.array([d[p:q].tobytes() for p, q in zip(a, z, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(start), pa.array(n), pa.array(whole.view(np.int64)), chunks], ["key", "doc_id", "text_hash", "start", "n", "whole", "chunk"])
+                own = rows[i]
+                _, one, which, times = np.unique(mix(mix(core ^ mix(whole)) + n.astype(np.uint64)) ^ mix(own.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+                again = times[which] > 1
+                # Of each stretch of runs that are met again: its first run, and its last.
+                head = np.flatnonzero(again & np.append(True, ~again[:-1] | (own[1:] != own[:-1])))
+                tail = np.flatnonzero(again & np.append(~again[1:] | (own[1:] != own[:-1]), True))
+                one = np.sort(one)
+                take = pa.array(np.concatenate([own[one], own[head]]) + lo)
+                start = np.asarray(batch.column("start").take(take)) + (starts[i] - first[:-1][own])[np.concatenate([one, head])]
+                size = np.concatenate([n[one], starts[i][tail] + n[tail] - starts[i][head]])
+                void = np.arange(len(one) + len(head)) >= len(one)
+                pad = np.zeros(len(head), np.int64)
+                chunks = pa.array([d[p:q].tobytes() for p, q in zip(a[one], z[one], strict=True)] + [None] * len(head), pa.binary())
+                columns = [pa.array(np.append(core[one].view(np.int64), pad), mask=void), batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(start), pa.array(size), pa.array(np.append(whole[one].view(np.int64), pad))]
+                yield pa.RecordBatch.from_arrays([*columns, chunks], ["key", "doc_id", "text_hash", "start", "n", "whole", "chunk"])
 
     return run
 
@@ -401,9 +416,11 @@ def repeated_spans(docs: DataFrame, depth: int = 400, unit: str = "bytes", gram:
         width = max(1, width // 8)
         pieces = many.mapInArrow(lean(_emit_slices(depth, gram, unit, width)), f"key long, doc_id {kind}, text_hash long, start long, n long, whole long, chunk binary")
         pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
+        found = pieces.filter("key IS NULL").select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))
+        pieces = pieces.filter("key IS NOT NULL")
         more, asked = _collapsed(pieces, depth, "kinds > 1")
         chunks = materialize(pieces.join(small(asked), "place").select(chunks.columns), "chunks")
-        spans, few = spans.unionByName(more), few.unionByName(chunks.filter(F.col("kinds") <= hot))
+        spans, few = spans.unionByName(more).unionByName(found), few.unionByName(chunks.filter(F.col("kinds") <= hot))
     few = few.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "text_hash", "start", "chunk")
     return spans.unionByName(few.mapInArrow(lean(_emit_spans(depth, unit)), f"doc_id {kind}, text_hash long, lo long, hi long"))
 

@@ -129,6 +129,19 @@ def test_repeated_words_in_long_texts(spark):
     assert sorted((str(r.doc_id), WORD.findall(r.kept)) for r in got) == sorted((str(i), k) for i, k, _ in covered_words(rows, 50))
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_periodic_tails_of_many_documents(spark, unit):
+    """One line again and again at the end of texts, in more kinds than go to one task."""
+    rows = [(i, f"{prose(20 + i % 3, 400 + i)}. {'Is on he. ' * (20 + i)}") for i in range(30)] + [(90, "Is on he. " * 9), (91, "ab" * 300)]
+    depth = 60 if unit == "bytes" else 12
+    got = suffix_dedup.remove_repeats(table(spark, rows), depth, unit=unit, hot=3).collect()
+    if unit == "bytes":
+        want = sorted((str(i), n, h) for i, _, n, _, h in removed(rows, depth))
+        assert sorted((str(r.doc_id), r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == want
+    else:
+        assert sorted((str(r.doc_id), WORD.findall(bytes(r.kept).decode())) for r in got) == sorted((str(i), w) for i, w, _ in covered_words(rows, depth))
+
+
 def test_equal_hashes_are_compared_byte_by_byte(monkeypatch):
     """With digests that say nothing, the bytes alone decide."""
     rng = random.Random(4)
