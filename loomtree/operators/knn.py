@@ -19,6 +19,9 @@ from ..profile import BLOCK, MESSAGE, SESSION
 
 MOST_QUERIES = 10_000
 
+#: Distances that a task holds at a time.
+CELLS = 4_000_000
+
 
 def knn(embeddings: DataFrame, vector, k: int, level: int | None = None) -> DataFrame:
     """node_id, level, distance of the k nearest to one vector: scan, distance, top-k in the JVM."""
@@ -57,10 +60,17 @@ def knn_many(embeddings: DataFrame, queries: DataFrame, k: int, metric: str = "l
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
     kind, key_kind = dict(queries.dtypes)["query_id"], dict(embeddings.dtypes)["node_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """So many rows at a time that a block of distances has CELLS numbers at most, and a row each at least."""
+        rows = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
+            for lo in range(0, len(batch), rows):
+                yield batch.slice(lo, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             vectors = batch.column("embedding")
-            n = np.diff(np.asarray(vectors.offsets))
+            n = np.asarray(vectors.value_lengths())
             fit = np.flatnonzero(n == wide)
             x = np.asarray(vectors.take(pa.array(fit)).flatten(), dtype=np.float64).reshape(len(fit), wide)
             if metric == "inner":

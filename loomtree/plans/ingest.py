@@ -38,20 +38,32 @@ def _node(offset: Column, level: int, parent: Column, content: Column, kind: Col
     return F.struct(*(void if f is None else f for f in fields)).cast(_NODE)
 
 
-def build_nodes(messages: DataFrame, ranges: int = 64) -> DataFrame:
+def _range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most key, in two steps of about the square root of their number each."""
+    wide = max(1, int(len(cuts) ** 0.5))
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
+    block = F.size(F.filter(longs(cuts[::wide]), lambda x: x <= key))
+    fine = F.array(longs([]), *[longs(cuts[i + 1 : i + wide]) for i in range(0, len(cuts), wide)])
+    # The first cut of a block counts for itself, and the blocks before it for all of theirs.
+    return F.when(block == 0, 0).otherwise((block - 1) * wide + 1 + F.size(F.filter(F.element_at(fine, block + 1), lambda x: x <= key)))
+
+
+def build_nodes(messages: DataFrame, ranges: int | None = None) -> DataFrame:
     """The tree in the order of ingest (session_seq, turn): for a new session its root, then message, block, statements, block, ...
 
     node_id counts from 1 in that order. sequence_num shares one counter with the sessions' own records: a new session takes two
     numbers, a message in a known one takes one more than its nodes. Empty statements are not stored.
 
     Ids are prefix sums over all messages. Sessions are dealt to ranges of session_seq; a task sums inside a range, and the ranges'
-    totals, one row each, are added to that. So messages are shuffled once, and each gives all its nodes in one step.
+    totals, one row each, are added to that. So messages are shuffled once, and each gives all its nodes in one step. There is a range for
+    about every 100,000 messages, 64 at least and 10,000 at most.
     """
+    if ranges is None:
+        ranges = min(10_000, max(64, messages.count() // 100_000))
     probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = sorted({int(x) for x in (messages.agg(F.percentile_approx("session_seq", probabilities, 10_000)).first()[0] or [])})
-    bounds = F.array(*map(F.lit, cuts)).cast("array<long>")
+    cuts = sorted({int(x) for x in (messages.agg(F.percentile_approx("session_seq", probabilities, 10 * max(1000, ranges))).first()[0] or [])})
     kept = F.transform("blocks", lambda b: F.filter(b["statements"], lambda s: s["content"] != ""))
-    parsed = messages.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("session_seq")))).withColumn("blocks", parse_h(F.col("content")))
+    parsed = messages.withColumn("range", _range_of(F.col("session_seq"), cuts)).withColumn("blocks", parse_h(F.col("content")))
     parsed = parsed.withColumn("kept", kept).withColumn("inner", F.aggregate("kept", F.lit(0).cast("long"), lambda n, x: n + F.size(x) + 1))
     totals = parsed.groupBy("range").agg(F.sum("inner").alias("inner"), F.count("*").alias("n"), F.countDistinct("session_seq").alias("sessions"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
