@@ -20,7 +20,7 @@ KEYWORD_STOP_WORDS_H = (
     "here there when where why how all each few more most other some such no nor not only "
     "own same so than too very just and but if or because until while this that these those it its "
     "func function def class struct interface type var let const static public private protected "
-    "return elif else switch case default break continue try catch except "
+    "return else elif switch case default break continue try catch except "
     "finally throw throws import export package module require include using namespace new delete "
     "nil null none true false void int string bool float double char byte long short "
     "async await yield lambda self super"
