@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,8 +29,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = materialize(joined.select(F.col("a").alias("node"), "to"), "joined", min(2 * n, n_nodes))
         left = joined.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = joined.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        old = edges, label, joined
         edges = materialize(edges.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges", n)
         moved = joined.select(F.col("node").alias("component"), "to")
         label = materialize(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels", n_nodes)
+        discard(*old)
         round_, n = round_ + 1, edges.count()
+    discard(edges)
     return label

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, binary, blocks, lean, materialize, mix, only, prefix_hashes, small, span_hashes, words
+from .common import BLOCK, binary, blocks, discard, lean, materialize, mix, only, prefix_hashes, small, span_hashes, words
 
 #: Tokens of a gram, at most.
 GRAM = {"bytes": 48, "words": 8}
@@ -405,6 +405,7 @@ def repeated_spans(docs: DataFrame, depth: int = 400, unit: str = "bytes", gram:
     runs = materialize(runs, "runs")
     often = materialize(runs.groupBy("key").agg(F.sum("times").alias("m")).filter("m > 1").select("key"), "often")
     shared = materialize(runs.join(small(often), "key").withColumn("place", F.monotonically_increasing_id()), "shared")
+    discard(runs, often)
     # A gram with one kind of run is done, unless that is one run that has the gram at several places.
     spans, asked = _collapsed(shared, depth, "kinds > 1 OR copies = 1")
     per_doc = shared.join(small(asked), "place").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "n", "kinds")).alias("runs"))

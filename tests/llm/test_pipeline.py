@@ -10,7 +10,7 @@ from loomtree.llm import mixing, near_dedup, suffix_dedup
 from loomtree.llm.queries import QUERIES
 from public_tokenizers import path
 from pyspark.sql import functions as F
-from test_operators import prose, removed, table
+from test_operators import WORD, covered_words, prose, removed, table
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -32,8 +32,8 @@ def test_each_stage_works_on_what_is_left(spark):
     assert {r.doc_id for r in first.collect()} == kept - {200} and first.columns == list(pipeline.COLUMNS)
     second = pipeline.repeats(spark, first, "").cache()
     texts = {r.doc_id: r.text for r in second.collect()}
-    lost = {i: n for i, _, n, _, _ in removed([(r.doc_id, r.text) for r in first.collect()], 400)}
-    assert all(len(texts[r.doc_id].encode()) == len(r.text.encode()) - lost[r.doc_id] for r in first.collect()) and lost[100] > 400 and lost[0] == 0
+    left = {i: (w, n) for i, w, n in covered_words([(r.doc_id, r.text) for r in first.collect()], pipeline.REPEATED)}
+    assert {i: WORD.findall(t) for i, t in texts.items()} == {i: w for i, (w, _) in left.items()} and left[100][1] == 100 and left[0][1] == 0
     third = pipeline.mix(spark, second, "").cache()
     assert third.columns == list(pipeline.COLUMNS)
     copies = {r.doc_id: r.n for r in third.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
@@ -68,7 +68,8 @@ def test_queries(spark, name):
     assert got.count() == docs.count()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     if name == "op9_suffix_dedup":
-        assert sorted(map(tuple, got.collect())) == sorted(removed(rows, 400))
+        words = {i: n for i, _, n in covered_words(rows, 50)}
+        assert sorted(map(tuple, got.collect())) == sorted((*r, words[r[0]]) for r in removed(rows, 400))
     if name == "op8_sharding":
         crc = {i: zlib.crc32((t or "").encode()) for i, t in rows}
         assert all(r.text_crc32 == crc[r.doc_id] for r in got.collect())
