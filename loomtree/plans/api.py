@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embedders
+from ..functions.text import level_name
 from ..operators import fulltext, ranking, sessions, tree
 from ..operators.parsing import parse_h
 from ..operators.ranking import HybridIndex, SearchOptions
-from ..profile import DIM, LEVEL_NAMES, PROFILES, level_code
+from ..profile import DIM, LEVEL_NAMES, MESSAGE, PROFILES, SESSION, level_code
 from . import ingest
 
 PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND, INVALID_PARAMS, INTERNAL_ERROR, NOT_FOUND = -32700, -32600, -32601, -32602, -32603, -32000
@@ -29,28 +30,66 @@ class RpcError(Exception):
 
 
 class ConversationEngine:
-    """A store of messages and what is derived from it. Derived tables are recomputed from the messages when these change; at scale
-    they are materialised by a Store and passed in."""
+    """A store of messages and what is derived from it. The messages given at the start are parsed, embedded and indexed once; a stored
+    message adds its own nodes, vectors and postings to these and touches nothing else. Ids are given in the order of storing and stay.
+
+    What has been stored since is held as local rows, up to `PENDING` of them; then they are folded into the cached tables.
+    """
+
+    PENDING = 5000
 
     def __init__(self, spark: SparkSession, messages: DataFrame | None = None, profile: str = "H", provider="stub_h", dim: int = DIM, as_of: datetime | None = None):
         self.spark, self.profile, self.provider, self.dim, self.as_of = spark, PROFILES[profile], provider, dim, as_of
         empty = "session_seq long, turn long, session_id string, agent_id string, role string, content string, created_at timestamp"
-        self.messages = messages if messages is not None else spark.createDataFrame([], empty)
-        self.extra: DataFrame | None = None
+        messages = messages if messages is not None else spark.createDataFrame([], empty)
         self.counters = {"requests": 0, "errors": 0, "latency_us": 0}
         self.timings = {"plan_us": 0, "run_us": 0}  # of the last request that was answered
         self.started = time.time()
-        self._derive()
-
-    def _derive(self) -> None:
-        self.nodes = ingest.build_nodes(self.messages)
-        if self.extra is not None:
-            self.nodes = self.nodes.unionByName(self.extra, allowMissingColumns=True)
-        self.nodes = self.nodes.cache()
-        texts = self.nodes.filter("content <> ''")
-        vectors = texts.select("node_id", "level", embedders.embed(F.col("content"), self.provider, self.dim).alias("embedding")).cache()
-        self.index = HybridIndex(self.nodes, fulltext.build_postings(texts).cache(), vectors)
-        self.sessions = sessions.build_sessions(self.nodes, self.messages).cache()
+        nodes = ingest.build_nodes(messages).cache()
+        vectors, postings = self._indexed(nodes)
+        lengths = fulltext.doc_stats(postings.cache())
+        self.base = {"messages": messages, "nodes": nodes, "vectors": vectors.cache(), "postings": postings, "lengths": lengths.cache()}
+        self.pending: dict[str, list] = {name: [] for name in self.base}
+        self._join_up()
+
+    def _indexed(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Vectors and postings of nodes."""
+        texts = nodes.filter("content <> ''")
+        return texts.select("node_id", "level", embedders.embed(F.col("content"), self.provider, self.dim).alias("embedding")), fulltext.build_postings(texts)
+
+    def _join_up(self) -> None:
+        """The tables as they are now: what is cached and what is pending."""
+        if sum(map(len, self.pending.values())) > self.PENDING:
+            for name, rows in self.pending.items():
+                if rows:
+                    self.base[name] = self.base[name].unionByName(self.spark.createDataFrame(rows, self.base[name].schema)).cache()
+                    rows.clear()
+        whole = {n: df.unionByName(self.spark.createDataFrame(self.pending[n], df.schema)) if self.pending[n] else df for n, df in self.base.items()}
+        self.messages, self.nodes = whole["messages"], whole["nodes"]
+        self.index = HybridIndex(self.nodes, whole["postings"], whole["vectors"], whole["lengths"])
+        self._sessions: DataFrame | None = None
+
+    def _add(self, nodes: DataFrame) -> DataFrame:
+        """Adds a few new nodes, with what is derived from them."""
+        columns = self.base["nodes"].columns
+        rows = nodes.select(*(F.col(c) if c in nodes.columns else F.lit(None).alias(c) for c in columns)).collect()
+        local = self.spark.createDataFrame(rows, self.base["nodes"].schema)
+        vectors, postings = self._indexed(local)
+        found = postings.select(*self.base["postings"].columns).collect()
+        lengths: dict[int, int] = {}
+        for r in found:
+            lengths[r["node_id"]] = lengths.get(r["node_id"], 0) + r["tf"]
+        for name, new in (("nodes", rows), ("vectors", vectors.collect()), ("postings", found), ("lengths", list(lengths.items()))):
+            self.pending[name] += new
+        self._join_up()
+        return local
+
+    @property
+    def sessions(self) -> DataFrame:
+        """Made when asked for after a change."""
+        if self._sessions is None:
+            self._sessions = sessions.build_sessions(self.nodes, self.messages).cache()
+        return self._sessions
 
     def _now(self) -> datetime:
         return self.as_of or datetime.now(UTC).replace(tzinfo=None)
@@ -62,27 +101,29 @@ class ConversationEngine:
         if not content or not session_id:
             raise RpcError(INVALID_PARAMS, "session_id and content are required")
         known = self.messages.filter(F.col("session_id") == session_id).agg(F.max("session_seq").alias("s"), F.max("turn").alias("t")).first()
-        if known["s"] is None:
-            # A new session comes last, and keeps ids of known nodes.
-            seq, turn = (self.messages.agg(F.max("session_seq")).first()[0] or 0) + 1, 0
-        else:
-            seq, turn = known["s"], known["t"] + 1
-        row = [(seq, turn, session_id, agent_id, role, content, created_at or self._now())]
-        self.messages = self.messages.unionByName(self.spark.createDataFrame(row, self.messages.schema))
-        self._derive()
-        head = self.nodes.filter((F.col("session_id") == session_id) & (F.col("level") == 2)).agg(F.max("node_id")).first()[0]
-        return tree.descendants(self.nodes, head, with_root=True)
+        fresh = known["s"] is None
+        seq, turn = ((self.messages.agg(F.max("session_seq")).first()[0] or 0) + 1, 0) if fresh else (known["s"], known["t"] + 1)
+        row = (seq, turn, session_id, agent_id, role, content, created_at or self._now())
+        made = ingest.build_nodes(self.spark.createDataFrame([row], self.base["messages"].schema), 2)
+        top = self.nodes.agg(F.max("node_id").alias("id"), F.max("sequence_num").alias("seq")).first()
+        ids, numbers = top["id"] or 0, top["seq"] or 0
+        parent = F.col("parent_id") + F.lit(ids)
+        if not fresh:
+            # The session has its root; the message takes the place that a new root had.
+            root = self.nodes.filter((F.col("session_id") == session_id) & (F.col("level") == SESSION)).agg(F.min("node_id")).first()[0]
+            made, ids, numbers = made.filter(F.col("level") != SESSION), ids - 1, numbers - 1
+            parent = F.when(F.col("level") == MESSAGE, F.lit(root)).otherwise(F.col("parent_id") + F.lit(ids))
+        made = made.withColumn("parent_id", parent).withColumn("node_id", F.col("node_id") + F.lit(ids)).withColumn("sequence_num", F.col("sequence_num") + F.lit(numbers))
+        self.pending["messages"].append(row)
+        local = self._add(made)
+        return tree.descendants(local, local.filter(F.col("level") == MESSAGE).first()["node_id"], with_root=True)
 
     def _store_under(self, parent_id: int, level: int, content: str) -> DataFrame:
         if tree.get_node(self.nodes, parent_id).isEmpty():
             raise RpcError(NOT_FOUND, f"node {parent_id} not found")
         new = self.spark.createDataFrame([(parent_id, level, content, self._now())], "parent_id long, level tinyint, content string, created_at timestamp")
         before = self.nodes.agg(F.max("node_id")).first()[0]
-        made = tree.add_children(self.nodes, new, self.profile.name).filter(F.col("node_id") > before)
-        made = self.spark.createDataFrame(made.collect(), made.schema)
-        self.extra = made if self.extra is None else self.extra.unionByName(made)
-        self._derive()
-        return made
+        return self._add(tree.add_children(self.nodes, new, self.profile.name).filter(F.col("node_id") > before).withColumn("level_name", level_name(F.col("level"))))
 
     def store_block(self, message_id: int, content: str) -> DataFrame:
         return self._store_under(message_id, 1, content)

@@ -100,6 +100,23 @@ def test_store(spark):
     assert e.store_statement(3, "a statement").collect()[0].parent_id == 3
 
 
+def test_stored_messages_are_as_if_ingested_at_once(spark, monkeypatch):
+    """Message by message in order, with rows folded in between, nodes and searches equal those of one ingest."""
+    monkeypatch.setattr(ConversationEngine, "PENDING", 20)
+    rows = [(1 + i // 3, i % 3, f"s{i // 3}", "a", "user", f"Topic{i} matters. It moved the parser.", NOW) for i in range(6)]
+    e, whole = engine(spark, rows[:2]), engine(spark, rows)
+    for r in rows[2:]:
+        e.store(r[3], r[2], r[5], r[4], r[6])
+    columns = ["node_id", "parent_id", "level", "level_name", "session_id", "agent_id", "role", "content", "sequence_num"]
+    plain = lambda x: sorted(map(tuple, x.nodes.select(columns).collect()))
+    assert plain(e) == plain(whole)
+    ask = lambda x: [(r.node_id, round(r.combined_score, 9)) for r in x.query("topic4 parser", k=4).collect()]
+    assert ask(e) == ask(whole)
+    assert [tuple(r) for r in e.list_sessions().select("session_id", "message_count", "keywords").collect()] == [tuple(r) for r in whole.list_sessions().select("session_id", "message_count", "keywords").collect()]
+    made = e.store_statement(3, "added later").first()
+    assert e.get_node(made.node_id).first().level_name == "statement" and e.query("added later", k=1).first().node_id == made.node_id
+
+
 def test_store_files(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     rows = lambda *x: spark.createDataFrame(list(x), "session_id string, title string, sequence_num long")
