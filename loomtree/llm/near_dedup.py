@@ -53,7 +53,7 @@ CORPUS = {"sketches": 64, "length": 3}
 BITS = 2048
 
 #: Bytes of sequences in which tokens are counted to order them by rarity.
-SAMPLE = 4 << 20
+SAMPLE = 16 << 20
 
 #: Cells of one row over all pairs, and words of padded sequences, that are aligned at a time.
 CELLS, PADDED = 16384, 1 << 20
@@ -234,22 +234,29 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             yield kind, lo, np.diff(first), rows, _labelled(tokens, rows) + np.uint64(kind)
 
 
-def _emit_rarest(known: np.ndarray, often: np.ndarray, similar: float):
-    """Of the n words of each sequence the rarest 0.2 n + 1, of its runs of two words the rarest 0.4 n + 1."""
+def _rarest_places(kind: int, n: np.ndarray, rows: np.ndarray, label: np.ndarray, known: np.ndarray, often: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n words of each row the rarest 0.2 n + 1, of its runs of two words the rarest 0.4 n + 1: their indexes and places."""
+    at = np.minimum(np.searchsorted(known, label), max(len(known) - 1, 0))
+    count = np.where(known[at] == label, often[at], 0) if len(known) else np.zeros(len(label), np.int64)
+    order = np.lexsort((label, count, rows))
+    many = np.bincount(rows, minlength=len(n))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+    inside = place < (np.floor(kind * (1 - similar) * n + 1e-9).astype(np.int64) + 1)[rows]
+    return order[inside], place[inside]
+
+
+def _emit_rarest(wanted: int, known: np.ndarray, often: np.ndarray, similar: float, shared: np.ndarray | None):
+    """The rarest tokens of one kind of each sequence; of these only what is in shared, where that is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, lo, n, rows, label in _tokens(batch.column("seq")):
-                at = np.minimum(np.searchsorted(known, label), max(len(known) - 1, 0))
-                count = np.where(known[at] == label, often[at], 0) if len(known) else np.zeros(len(label), np.int64)
-                order = np.lexsort((label, count, rows))
-                many = np.bincount(rows, minlength=len(n))
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-                most = np.floor(kind * (1 - similar) * n + 1e-9).astype(np.int64) + 1
-                inside = place < most[rows]
-                hit = order[inside]
-                columns = [np.full(len(hit), kind, np.int32), label[hit].view(np.int64), place[inside]]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), *map(pa.array, columns)], ["rep", "kind", "token", "place"])
+                if kind == wanted:
+                    hit, place = _rarest_places(kind, n, rows, label, known, often, similar)
+                    if shared is not None:
+                        met = np.isin(label[hit], shared)
+                        hit, place = hit[met], place[met]
+                    yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows[hit] + lo)), pa.array(label[hit].view(np.int64)), pa.array(place)], ["rep", "token", "place"])
 
     return run
 
@@ -376,27 +383,45 @@ def _apart(rows: DataFrame, key: str, similar: float) -> DataFrame:
     return few.join(rest, key).filter(fits).select("leader", "rep", "m", "n")
 
 
+def _sampled(sample: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray], dict[int, float]]:
+    """Of sequences with their classes: tokens that occur more than once and how often; and by kind, which of the rarest tokens are met in
+    more classes than one, and the sum of squares of how many documents have these."""
+    seqs, classes = sample["seq"].combine_chunks(), np.asarray(sample["class"])
+    found = [label for *_, label in _tokens(seqs)]
+    known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+    known, often = known[often > 1], often[often > 1]
+    labels: dict[int, list] = {1: [], 2: []}
+    for kind, lo, n, rows, label in _tokens(seqs):
+        hit, _ = _rarest_places(kind, n, rows, label, known, often, similar)
+        labels[kind].append((label[hit], classes[rows[hit] + lo]))
+    shared, cost = {}, {}
+    for kind, parts in labels.items():
+        token = np.concatenate([x for x, _ in parts] or [np.zeros(0, np.uint64)])
+        own = np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])
+        order = np.lexsort((own, token))
+        token, own = token[order], own[order]
+        one, at, n = np.unique(token, return_index=True, return_counts=True)
+        mixed = own[at] != own[at + n - 1] if len(one) else np.zeros(0, bool)
+        shared[kind], cost[kind] = one[mixed], float((n[mixed].astype(float) ** 2).sum())
+    return known, often, shared, cost
+
+
 def _rarest(rows: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
     """rows by key, one for each of the document's rarest tokens that others have there too: near pairs share one at least.
 
     Any order of tokens will do for that, as long as it is one for all; here they are counted in about `SAMPLE` bytes of sequences.
-    Words or runs of two are taken, whichever makes fewer pairs.
+    Words or runs of two are taken, whichever makes fewer pairs there. Where these are all sequences, tokens that one class has alone
+    are known, and aren't sent.
     """
-    own = materialize(sequences.join(small(rows.select("rep")), "rep", "left_semi"), "large")
-    size = own.agg(F.sum(F.octet_length("seq"))).first()[0]
-    part = own.filter(F.pmod(F.xxhash64("rep"), F.lit(1 + size // SAMPLE)) == 0).select("seq").toArrow()["seq"].combine_chunks()
-    found = [label for *_, label in _tokens(part)]
-    known, often = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-    known, often = known[often > 1], often[often > 1]
-    rare = materialize(own.repartition("rep").mapInArrow(lean(_emit_rarest(known, often, similar)), "rep long, kind int, token long, place long"), "rarest")
-    classes = rows.select("rep", "class")
-    mixed = rare.join(small(classes), "rep").groupBy("kind", "token").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).filter("c <> d")
-    mixed = materialize(mixed.select("kind", "token", "n"), "mixed")
+    own = materialize(sequences.select("rep", "seq").join(small(rows.select("rep", "class")), "rep"), "large")
+    parts = 1 + own.agg(F.sum(F.octet_length("seq"))).first()[0] // SAMPLE
+    known, often, shared, cost = _sampled(own.filter(F.pmod(F.xxhash64("rep"), F.lit(parts)) == 0).select("seq", "class").toArrow(), similar)
     # Near pairs share tokens of either kind, so one kind is enough.
-    cost = {r["kind"]: r["cost"] for r in mixed.groupBy("kind").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost")).collect()}
-    kind = min((1, 2), key=lambda k: cost.get(k, 0))
-    chosen = mixed.filter(F.col("kind") == kind).select("token")
-    keyed = rare.filter(F.col("kind") == kind).join(small(chosen), "token")
+    kind = min(cost, key=cost.get)
+    emit = _emit_rarest(kind, known, often, similar, shared[kind] if parts == 1 else None)
+    rare = materialize(own.select("rep", "seq").repartition("rep").mapInArrow(lean(emit), "rep long, token long, place long"), "rarest")
+    mixed = rare.join(small(rows.select("rep", "class")), "rep").groupBy("token").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d")
+    keyed = rare.join(small(materialize(mixed.select("token"), "mixed")), "token")
     lists = keyed.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("listed"))
     lists = lists.join(rows, "rep").select("rep", "class", "n_words", "bits", F.col("listed.token").alias("tokens"))
     # One after another, the rarest first: posexplode keeps the tokens beside each.
