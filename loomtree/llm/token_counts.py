@@ -6,7 +6,9 @@ keys; of the misses each distinct content is encoded once and its count appended
 the shuffle, so content that a third of all rows share is sent once a task at most.
 
 Where white space always separates tokens and is dropped (white_space_splits), a text's count is the sum of its words' counts, so a task
-encodes each distinct word once and keeps its count, up to `WORDS` words.
+encodes each distinct word once and keeps its count, up to `WORDS` words. Under a tokenizer of the make of word_bpe_49k.json (`_quick`),
+most words' merges are done for all of them at once in numpy; tests hold these counts against the library's. All other words go to the
+library.
 
 Defined results: a null text is an empty one and has no tokens; rows with null or repeated ids keep their rows; other columns are
 ignored. The cache only grows; two runs that append the same key at once leave equal rows, which reading collapses.
@@ -15,18 +17,30 @@ ignored. The cache only grows; two runs that append the same key at once leave e
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, lean, materialize, shared_folder, small, whole_texts
+from .common import BLOCK, binary, blocks, lean, materialize, shared_folder, small, whole_texts
 
 WORDS = 400_000
 CACHE = "version string, digest binary, n_tokens long"
+#: Bytes of text whose words are looked up at a time, and the longest word that is merged in numpy, a round for each of its merges.
+TEXT, LONGEST = 1 << 20, 64
+#: The make of tokenizer that `_quick` knows. Characters below `LATIN` keep their form under NFC.
+LATIN = 0x300
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 
 def version(path: str, white_space_splits: bool) -> str:
@@ -51,10 +65,103 @@ def _counter(path: str):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _by_words(count):
-    """count, on distinct words. Python's split also cuts at four separators that are no white space to the tokenizer; texts with these
-    are counted whole."""
+class _Merges:
+    """Byte pair merges of many pieces at once: in each round, every piece's lowest pair, the leftmost of equals, becomes one symbol."""
+
+    NONE = np.int64(1 << 30)
+
+    def __init__(self, model: dict):
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        vocab, pairs = model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.base = np.array([vocab[char[i % 256] + "</w>" * (i > 255)] for i in range(512)])  # of a byte, and of a piece's last byte + 256
+        self.many, self.made = max(vocab.values()) + 1, np.array([vocab[a + b] for a, b in pairs])
+        key = np.array([vocab[a] * self.many + vocab[b] for a, b in pairs])
+        self.rank = np.argsort(key)
+        self.key = key[self.rank]
+        if not (self.key[1:] > self.key[:-1]).all():
+            raise ValueError("a pair has two ranks")
+        self.first = self.ranks(np.repeat(self.base[:256], 512), np.tile(self.base, 256))
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = a * self.many + b
+        i = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
+        return np.where(self.key[i] == k, self.rank[i], self.NONE)
+
+    def counts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Tokens of the pieces of data, which start there and fill it."""
+        out = np.diff(starts, append=len(data))
+        piece = np.repeat(np.arange(len(starts)), out)
+        last = np.zeros(len(data), bool)
+        last[np.append(starts[1:], len(data)) - 1] = True
+        code = data + np.where(last, 256, 0)
+        symbol, rank = self.base[code], np.full(len(data), self.NONE)
+        rank[:-1] = np.where(last[:-1], self.NONE, self.first[np.where(last[:-1], 0, code[:-1] * 512) + code[1:]])
+        while len(starts):
+            best = np.minimum.reduceat(rank << np.int64(32) | np.arange(len(rank)), starts)
+            live = best >> np.int64(32) < self.NONE
+            at = best[live] & np.int64((1 << 32) - 1)
+            out[piece[at]] -= 1
+            symbol[at] = self.made[rank[at]]
+            keep = np.repeat(live, np.diff(starts, append=len(rank)))
+            keep[at + 1] = False
+            at = np.cumsum(keep)[at] - 1
+            symbol, rank, piece = symbol[keep], rank[keep], piece[keep]
+            for i in (at, at[at > 0] - 1):
+                inside = i[:-1] if len(i) and i[-1] == len(piece) - 1 else i
+                rank[i] = self.NONE
+                inside = inside[piece[inside] == piece[inside + 1]]
+                rank[inside] = self.ranks(symbol[inside], symbol[inside + 1])
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        return out
+
+
+def _quick(path: str, count: Callable[[list[str]], list[int]]) -> Callable[[list[str]], list[int]]:
+    """count for words. Under the make of tokenizer that is known here, words of characters below `LATIN` are cut to runs of letters,
+    single digits and runs of others, and merged in numpy; words with an apostrophe, a special token or over `LONGEST` characters, and
+    all words under any other tokenizer, are left to count."""
+    if not path.endswith(".json"):
+        return count
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model = made["model"]
+    known = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    if not known or made.get("post_processor") is not None or {k: v for k, v in model.items() if k not in ("vocab", "merges")} != MERGES:
+        return count
+    try:
+        merges = _Merges(model)
+    except (KeyError, ValueError):  # a byte without a symbol, or pairs that aren't plain
+        return count
+    kinds = np.array([{"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(LATIN)], np.int8)
+    kinds[10] = 0  # between words
+    special = re.compile("|".join(["'", rf"[^\x00-{chr(LATIN - 1)}]", *(re.escape(t["content"].lower()) for t in made["added_tokens"])]))
+
+    def run(words: list[str]) -> list[int]:
+        lower = [w.lower() for w in words]
+        plain = [0 < len(w) <= LONGEST and special.search(w) is None for w in lower]
+        joined = "\n".join([w for w, p in zip(lower, plain, strict=True) if p])
+        rest = iter(count([w for w, p in zip(words, plain, strict=True) if not p]))
+        if not joined:
+            return list(rest)
+        data = np.frombuffer(joined.encode(), np.uint8).astype(np.int64)
+        kind = kinds[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        opens = (np.diff(kind, prepend=0) != 0) | (kind == 2)
+        lead = data & 0xC0 != 0x80
+        char = np.cumsum(lead) - 1
+        inside = (kind != 0)[char]
+        starts = np.flatnonzero((lead & opens[char])[inside])
+        word = np.cumsum(data == 10)[inside][starts]
+        found = iter(np.bincount(word, merges.counts(data[inside], starts), int((kind == 0).sum()) + 1).astype(np.int64).tolist())
+        return [next(found if p else rest) for p in plain]
+
+    return run
+
+
+def _by_words(count, of_words=None):
+    """count, on distinct words, which of_words counts if given. Python's split also cuts at four separators that are no white space to
+    the tokenizer; texts with these are counted whole."""
     known: dict[str, int] = {}
+    of_words = of_words or count
 
     def run(texts: list[str]) -> list[int]:
         odd = [i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
@@ -62,7 +169,7 @@ def _by_words(count):
         if len(known) > WORDS:
             known.clear()
         new = list({w for r in rows for w in r}.difference(known))
-        known.update(zip(new, count(new), strict=True))
+        known.update(zip(new, of_words(new), strict=True))
         out = [sum(map(known.__getitem__, r)) for r in rows]
         for i, n in zip(odd, count([texts[i] for i in odd]), strict=True):
             out[i] = n
@@ -87,7 +194,7 @@ def _encode(path: str, white_space_splits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = _counter(path), set()
         if white_space_splits:
-            count = _by_words(count)
+            count = _by_words(count, _quick(path, count))
         for batch in batches:
             digests, texts = batch.column("digest").to_pylist(), batch.column("content")
             fresh = []
@@ -97,7 +204,7 @@ def _encode(path: str, white_space_splits: bool):
                     fresh.append(i)
             data, at = binary(texts.take(pa.array(fresh, pa.int64())).cast(pa.binary()))
             counts: list[int] = []
-            for lo, hi, d, o in blocks(data, at):
+            for _, _, d, o in blocks(data, at, TEXT if white_space_splits else BLOCK):
                 counts += count([d[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(o[:-1], o[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in fresh], pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 

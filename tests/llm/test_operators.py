@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import random
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -336,6 +338,43 @@ def test_words_add_up(text):
     assert token_counts._by_words(count)([text]) == count([text])
 
 
+@functools.cache
+def _word_counters():
+    count = token_counts._counter(path("word_bpe_49k.json"))
+    return count, token_counts._quick(path("word_bpe_49k.json"), count)
+
+
+def _words_are_counted_as_by_the_library(words):
+    count, quick = _word_counters()
+    assert quick(words) == count(words)
+
+
+def test_quick_words():
+    """Every character below U+0300 alone and beside others; long runs; what is left to the library."""
+    chars = [c for c in map(chr, range(0x300)) if not c.isspace()]
+    _words_are_counted_as_by_the_library([w for c in chars for w in (c, c + c, "a" + c, c + "b", f"a{c}b", "1" + c, f"#{c}1", f"É{c}é{c}")])
+    _words_are_counted_as_by_the_library(["#" * n for n in (63, 64, 65, 400)] + ["ab" * 32, "it's", "'sound", "<|ENDOFTEXT|>", "x<|endoftext|>", "e\u0301", "ΣΑΣ", "日本", "ȺȾ", "K", "²½٣", ""])
+    other = path("byte_bpe_50k.json")
+    assert token_counts._quick(other, len) is len
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x2FF), max_size=70) | st.text(alphabet="aeinrsté#1'Ⱥ́", max_size=30), max_size=20))
+def test_quick_words_of_any_kind(words):
+    _words_are_counted_as_by_the_library([x for w in words for x in w.split()])
+
+
+def test_plain_words_are_not_sent_to_the_library(monkeypatch):
+    """The library gets the odd words only; most are merged many at once."""
+    file, sent = path("word_bpe_49k.json"), []
+    count = token_counts._counter(file)
+    monkeypatch.setattr(token_counts, "_counter", lambda path: lambda texts: sent.extend(texts) or count(texts))
+    texts = [prose(500, i) for i in range(5)] + ["Plain, words; 12 été don't"]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(6)]), pa.array(texts)], ["digest", "content"])
+    (out,) = token_counts._encode(file, True)(iter([batch]))
+    assert out.column("n_tokens").to_pylist() == count(texts) and sent == ["don't"]
+
+
 # 4. Packing.
 
 
